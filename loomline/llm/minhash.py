@@ -67,7 +67,7 @@ def _prefixes(nodes: DataFrame, pct: int, shared: Shared) -> DataFrame:
     each = nodes.select("rep", F.explode("sketch").alias("v"))
     common = shared.write(each.groupBy("v").agg(F.count("*").alias("cnt")).where("cnt > 1"), "common")
     first = F.size("sketch") - _threshold(F.col("n"), pct) + 1
-    ranked = each.join(common, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "v"))).alias("vs"))
+    ranked = each.join(common.hint("merge"), "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "v"))).alias("vs"))
     ranked = ranked.join(nodes.select("rep", "n", "sketch", first.alias("first")), "rep")
     left = F.greatest(F.lit(0), F.col("first") - F.size("sketch") + F.size("vs"))
     ranked = ranked.select("rep", "n", "sketch", F.slice(F.transform("vs", lambda x: x.v), F.lit(1), left).alias("vs")).where(F.size("vs") > 0)
@@ -80,12 +80,12 @@ def _lists(prefixes: DataFrame, shared: Shared) -> DataFrame:
     """Inverted lists of two sets and more: v, cnt, rep, i (v's place in rep's prefix)."""
     heads = prefixes.select("rep", F.posexplode("vs").alias("i", "v"))
     sizes = shared.write(heads.groupBy("v").agg(F.count("*").alias("cnt")).where("cnt > 1"), "sizes")
-    return shared.write(heads.join(sizes, "v"), "lists")
+    return shared.write(heads.join(sizes.hint("merge"), "v"), "lists")
 
 
 def _with_sketch(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
     """earlier: what comes before v in rep's prefix."""
-    return lists.join(prefixes, "rep").withColumn("earlier", F.expr("slice(vs, 1, i)")).drop("vs", "i")
+    return lists.join(prefixes.hint("merge"), "rep").withColumn("earlier", F.expr("slice(vs, 1, i)")).drop("vs", "i")
 
 
 def _short_pairs(rows: DataFrame, pct: int) -> DataFrame:
@@ -234,6 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     union, filter; the Jaccard index of the whole sets decides. Lists are compared in blocks of BLOCK x BLOCK with
     matrix products, a pair in the first list it shares only, and blocks emit spanning forests, never all pairs.
 
+    What is joined grows with the documents, so it is merged at every size and never broadcast.
+
     Null and empty texts and those of white space alone have an empty set: n_shingles 0, component_id the own id.
     A row with a null id links with nothing and is not kept. Rows with one id are one vertex. Extra columns are left out.
     """
@@ -256,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = live.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = shared.write(nodes.join(wanted, "rep", "left_semi").select("rep", "t"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    texts = shared.write(texts.join(wanted, ["rep", "t"], "left_semi"), "texts")
+    texts = shared.write(texts.join(wanted.hint("merge"), ["rep", "t"], "left_semi"), "texts")
     text = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
     links = arrow_map(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b"), _linked(percent, size), "a long, b long")
     links = links.union(live.join(texts, "rep").groupBy("v", "p", "q").applyInPandas(_verified(percent, size), "a long, b long"))
@@ -268,6 +270,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(comp.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     named = shared.write(named, "classes")
     shared.drop("nodes", "components")
-    out = full.join(named, ["k1", "k2"], "left").select("id", "n_shingles", F.least(F.coalesce("comp", "id"), "id").alias("component_id"))
+    out = full.join(named.hint("merge"), ["k1", "k2"], "left").select("id", "n_shingles", F.least(F.coalesce("comp", "id"), "id").alias("component_id"))
     rest = every.where("id is null or k1 is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
