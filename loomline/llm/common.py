@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into objects at once; bounds memory with long texts.
 SLICE = 256
@@ -72,6 +73,15 @@ class Shared:
                 delete(self.spark, path)
 
 
+def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The n rows with the least hashes of a key. A bound on the hash, known from the number of rows, keeps what tasks
+    send to the driver near n rows in all, however many tasks there are."""
+    total, h = df.count(), F.xxhash64(F.lit(11), key)
+    if total > 2 * n:
+        df = df.where(h <= int(-(2**63) + 2**64 * min(1.0, (n + 8 * n**0.5 + 50) / total)))
+    return df.orderBy(h, key).limit(n)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text with A-Z lower-cased, as UTF-8. bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_map
+from .common import Shared, arrow_map, hash_sample
 from .graph import components
 
 #: Vectors, in the order of a hash, from which codebooks and the length of the traversal are learned.
@@ -203,7 +203,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _search(nodes: DataFrame, n: int, threshold: float, shared: Shared, name: str) -> DataFrame:
     """key, id, links, comp of the entries of one length, from every block they are compared in."""
-    sample = nodes.select("x").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toArrow()
+    sample = hash_sample(nodes.select("key", "x"), F.col("key"), SAMPLE).select("x").toArrow()
     index = learn(_units(sample.column(0).to_pylist()), n, threshold)
 
     def cells(b: pa.RecordBatch) -> pa.RecordBatch:

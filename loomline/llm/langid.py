@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_map, mixed
+from .common import Shared, arrow_map, hash_sample, mixed
 
 #: Labelled texts, by a hash of their ids, that the trigram model is learned from at most.
 SAMPLE = 6_000
@@ -53,7 +53,7 @@ def declared_language(page: str | None) -> str:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """The trigram model of a bounded sample of labelled texts; rows with null or empty labels, ids or texts don't take part."""
     good = docs.where(F.col(id_col).isNotNull() & (F.coalesce(lang_col, F.lit("")) != ""))
-    ids = good.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
+    ids = hash_sample(good.select(id_col), F.col(id_col), sample).distinct()
     rows = good.join(F.broadcast(ids), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, shingle_set
+from .common import arrow_map, hash_sample, shingle_set
 
 #: Labelled rows that the chain is fitted on at most, in the order of a hash: of those with the last label, and of those without.
 POSITIVE, NEGATIVE = 3_000, 6_000
@@ -149,9 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     thing that is bounded; it is chosen among the labels alone, so docs are read once and not shuffled.
     """
     last = labels.select(id_col, *[c for c in labels.columns if c != id_col]).where(F.col(id_col).isNotNull())
-    order = F.xxhash64(F.lit(SEED), F.col(id_col))
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    some = last.where(toxic).orderBy(order, id_col).limit(positive).unionByName(last.where(~toxic).orderBy(order, id_col).limit(negative))
+    some = hash_sample(last.where(toxic), F.col(id_col), positive).unionByName(hash_sample(last.where(~toxic), F.col(id_col), negative))
     some = some.dropDuplicates([id_col])
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(F.col(id_col).isNotNull()).join(F.broadcast(some), id_col)
     y = F.array(*(F.coalesce(c, F.lit(False)).cast("int") for _, c in categories))
