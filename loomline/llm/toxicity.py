@@ -37,7 +37,7 @@ class Chain:
 def features_of(word: bytes) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings of 3 to 8 bytes, so inflected forms share what stems tell."""
     forms = [word, *(word[:k] + b"*" for k in range(3, min(8, len(word)) + 1))]
-    return tuple(xxhash.xxh3_64_intdigest(f) >> 1 for f in forms)
+    return tuple(xxhash.xxh3_64_intdigest(f) & 0x7FFFFFFF for f in forms)
 
 
 class _Cache(dict):
@@ -61,7 +61,7 @@ def words_in(text: str | None) -> set[bytes]:
 
 def word_set(text: str | None) -> np.ndarray:
     """Sorted distinct features of a text's words: runs of a-z (A-Z lower-cased) and of what isn't ASCII."""
-    return np.array(sorted({h for w in words_in(text) for h in _features[w]}), np.int64)
+    return np.array(sorted({h for w in words_in(text) for h in _features[w]}), np.int32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -94,12 +94,17 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], features: int = FEATURES) -> Chain:
     """labels: one column for each category. Later models learn from out-of-fold probabilities of the earlier ones."""
     n = len(sets)
-    flat = np.concatenate(sets) if n else np.empty(0, np.int64)
-    vals, at, df = np.unique(flat, return_inverse=True, return_counts=True)
+    vals, df = np.unique(np.concatenate(sets) if n else np.empty(0, np.int32), return_counts=True)
+    often = df >= 5
+    vals, df = vals[often], df[often]
     score = np.zeros(len(vals))
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
     for k in range(labels.shape[1] if n else 0):
-        pos, total = np.bincount(at, labels[row, k], len(vals)), labels[:, k].sum()
+        total = labels[:, k].sum()
+        own, times = np.unique(np.concatenate([np.empty(0, np.int32), *(sets[i] for i in np.flatnonzero(labels[:, k]))]), return_counts=True)
+        pos = np.zeros(len(vals))
+        at = np.minimum(np.searchsorted(vals, own), max(0, len(vals) - 1))
+        hit = vals[at] == own if len(vals) else np.zeros(len(own), bool)
+        pos[at[hit]] = times[hit]
         expect = df * (total / n)
         z = (pos - expect) / np.sqrt(np.maximum(expect, 1.0))
         rest = (df - pos + 0.5) / (n - total + 1)
@@ -160,9 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
         texts = b.column(0).to_pylist()
         sets, like = [word_set(t) for t in texts], [int(s[0]) if len(s := shingle_set(t)) else 0 for t in texts]
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets) if sets else [], pa.int64())), b.column(1), pa.array(like, pa.int64())], names=["words", "y", "like"])
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets) if sets else [], pa.int32())), b.column(1), pa.array(like, pa.int64())], names=["words", "y", "like"])
 
-    got = arrow_map(rows, run, "words array<long>, y array<int>, like long").toArrow()
+    got = arrow_map(rows, run, "words array<int>, y array<int>, like long").toArrow()
     names = [n for n, _ in categories]
     sets = [x.values.to_numpy(zero_copy_only=False) for x in got.column("words")]
     y, like = got.column("y").to_pylist(), got.column("like").to_pylist()
