@@ -42,6 +42,8 @@ def matcher(m: ast.Matcher, of: Resolve, anchored: bool) -> Column:
     match anywhere and a missing or empty label passes the negative operators alone; an invalid pattern matches nothing."""
     raw = of(m.label)
     value = F.coalesce(raw, F.lit(""))
+    if anchored and m.value and m.op in ("=", "!="):  # plain comparisons reach a scan
+        return raw == m.value if m.op == "=" else raw.isNull() | (raw != m.value)
     if m.op in ("=", "!="):
         hit = value == m.value
     else:
@@ -67,21 +69,23 @@ def selector(s: ast.Selector, of: Resolve = label_of) -> Column:
     if isinstance(s, ast.Labels):
         own = [of("__name__").eqNullSafe(F.lit(s.metric))] if s.metric is not None else []
         return all_of([*own, *(matcher(m, of, True) for m in s.matchers)])
-    return _node(s.expr, of)
+    return _node(s.expr, of, False)
 
 
-def _node(n: ast.Node, of: Resolve) -> Column:
+def _node(n: ast.Node, of: Resolve, strict: bool) -> Column:
+    """strict: what is unknown must be false, as below a NOT; elsewhere a condition takes it for false anyway."""
     if isinstance(n, ast.Group):
-        return _node(n.item, of)
+        return _node(n.item, of, strict)
     if isinstance(n, ast.Bool):
-        items = [_node(x, of) for x in n.items]
+        items = [_node(x, of, strict or n.op == "NOT") for x in n.items]
         if n.op == "NOT":
             return ~items[0]
         out = items[0]
         for x in items[1:]:
             out = out & x if n.op == "AND" else out | x
         return out
-    return F.coalesce(_term(n, of(n.field)), F.lit(False))
+    out = _term(n, of(n.field))
+    return F.coalesce(out, F.lit(False)) if strict else out
 
 
 def _bare(value: str) -> str:
