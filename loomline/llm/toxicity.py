@@ -78,7 +78,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int =
     for _ in range(rounds):
         p = _sigmoid(x @ w)
         g = x.T @ (p - y) + penalty * w
-        h = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x
+        h, v = np.zeros((len(w), len(w))), np.maximum(p * (1 - p), 1e-6)
+        for at in range(0, len(x), 1000):  # in blocks, which spares copies of the whole matrix
+            b = x[at : at + 1000].astype(np.float64)
+            h += (b.T * v[at : at + 1000]) @ b
         h[np.diag_indices_from(h)] += penalty
         step = np.linalg.solve(h, g)
         w -= step
@@ -92,7 +95,7 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], features: int = FEATURES) -> Chain:
-    """labels: one column for each category. Later models learn from out-of-fold probabilities of the earlier ones."""
+    """labels: one column for each category; sets is emptied on the way. Later models learn from out-of-fold probabilities of the earlier ones."""
     n = len(sets)
     vals, df = np.unique(np.concatenate(sets) if n else np.empty(0, np.int32), return_counts=True)
     often = df >= 5
@@ -112,9 +115,10 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], feat
         score = np.maximum(score, np.where(ok, z, 0))
     ok = np.flatnonzero(score)
     words = np.sort(vals[ok[np.argsort(-score[ok], kind="stable")[:features]]])
-    x = np.stack([np.isin(words, s, assume_unique=True) for s in sets]).astype(np.float64) if n else np.zeros((0, len(words)))
+    x = np.stack([np.isin(words, s, assume_unique=True) for s in sets]).astype(np.float32) if n else np.zeros((0, len(words)), np.float32)
+    sets.clear()
     fold = np.random.default_rng(SEED).permutation(n) % FOLDS
-    weights, earlier = [], np.zeros((n, 0))
+    weights, earlier = [], np.zeros((n, 0), np.float32)
     for k in range(labels.shape[1]):
         y, now = labels[:, k].astype(np.float64), np.column_stack([x, earlier])
         weights.append(fit_linear(now, y))
@@ -122,7 +126,7 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], feat
         for f in range(FOLDS):
             if (fold == f).any():
                 out[fold == f] = _apply(now[fold == f], fit_linear(now[fold != f], y[fold != f]))
-        earlier = np.column_stack([earlier, out])
+        earlier = np.column_stack([earlier, out.astype(np.float32)])
     return Chain(names, words, weights)
 
 
@@ -171,10 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column
     names = [n for n, _ in categories]
     sets = [x.values.to_numpy(zero_copy_only=False) for x in got.column("words")]
     y, like = got.column("y").to_pylist(), got.column("like").to_pylist()
+    del got
     # Texts with the same least shingle are copies or near copies, of which one counts; the order of rows doesn't.
     by = sorted(range(len(sets)), key=lambda i: (like[i], len(sets[i]), tuple(sets[i]), y[i]))
     by = [i for k, i in enumerate(by) if not k or like[i] != like[by[k - 1]]]
-    return fit_chain([sets[i] for i in by], np.array([y[i] for i in by], np.int64).reshape(-1, len(names)), names)
+    sets = [sets[i] for i in by]
+    return fit_chain(sets, np.array([y[i] for i in by], np.int64).reshape(-1, len(names)), names)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
