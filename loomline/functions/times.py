@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import Column
@@ -54,6 +55,12 @@ def is_valid_timestamp(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text).isNotNull(), F.lit(False))
 
 
+def iso_text(ms: int) -> str:
+    """What iso() gives for one number."""
+    at = datetime.datetime.fromtimestamp(ms // 1000, datetime.UTC)
+    return f"{at:%Y-%m-%dT%H:%M:%S}.{ms % 1000:03d}Z"
+
+
 def iso(ms: Column) -> Column:
     """yyyy-MM-ddTHH:mm:ss.SSSZ of milliseconds; the session's time zone must be UTC."""
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
