@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, embeddings, langid, lm, minhash, mixing, secrets, toxicity, urls
+from . import audio, bpe, embeddings, langid, lm, minhash, mixing, secrets, sql, toxicity, urls
 from .common import Shared, load
 
 
@@ -101,7 +101,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; tests/llm holds the others against brute force."""
+    return {"op4_minhash_dedup": sql.OP4, "op5_mixing": sql.op5(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED), "op6_embedding_dedup": sql.OP6}
 
 
 _QUERIES = (op1_bpe, op2_audio_fingerprints, op3_secret_scan, op4_minhash_dedup, op5_mixing, op6_embedding_dedup, op7_toxicity, op8_lm_score, op9_language_id, op10_url_filter, pipeline)
