@@ -17,9 +17,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.toxicity_scores(spark, docs, sf_dir).where(f"tox_toxic < {queries.REJECT}").select(*docs.columns)
 
 
+#: Least Jaccard index, in percent, of two texts that are near copies. op4 alone has 85.
+SIMILAR = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id."""
-    kept = Shared(spark).write(minhash.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    kept = Shared(spark).write(minhash.near_duplicates(docs, percent=SIMILAR).where("kept").select("doc_id").distinct(), "kept")
     named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,9 +18,8 @@ from .graph import components
 
 #: Retained values of a sketch.
 K = 48
-#: Two sets with a Jaccard index of 0.85 share fewer than T of the K least values of their union with a
-#: probability of 4e-7 (binomial tail); sets of up to K shingles are their own sketches and lose nothing.
-T = 27
+#: Most probability with which a pair that just links is missed; sets of up to K shingles are their own sketches and lose nothing.
+MISS = 4e-7
 #: Sets of a list whose pairs are met by a join; longer lists are compared in blocks.
 SHORT = 16
 #: Sets of an inverted list that one task compares with as many others.
@@ -27,6 +28,15 @@ BLOCK = 512
 _CELLS = 4_000_000
 
 
+@cache
+def least_shared(pct: int) -> int:
+    """The most t for which two sets with a Jaccard index of pct % share fewer than t of the K least values of their union with a probability of MISS at most (binomial tail)."""
+    j, tail, t = pct / 100, 0.0, 0
+    while t < K and (tail := tail + math.comb(K, t) * j**t * (1 - j) ** (K - t)) <= MISS:
+        t += 1
+    return t
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """id, n_shingles, k1, k2 (128-bit key of the whole set, null if empty), sketch array<long> (ascending), t (hash of the text)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
@@ -54,7 +64,7 @@ def _threshold(n: Column, pct: int) -> Column:
 
     Sets of up to pct % of K link with sets of up to K shingles only, whose sketches are whole.
     """
-    return F.when(n * 100 <= K * pct, F.ceil(n * pct / F.lit(100.0))).otherwise(F.lit(T)).cast("int")
+    return F.when(n * 100 <= K * pct, F.ceil(n * pct / F.lit(100.0))).otherwise(F.lit(least_shared(pct))).cast("int")
 
 
 def _prefixes(nodes: DataFrame, pct: int, shared: Shared) -> DataFrame:
@@ -95,8 +105,9 @@ def _short_pairs(rows: DataFrame, pct: int) -> DataFrame:
     pairs = pairs.where("not arrays_overlap(earlier_a, earlier_b)").withColumn("both", F.array_intersect("sketch_a", "sketch_b"))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
     whole = F.greatest("n_a", "n_b") <= K
-    pairs = pairs.where(F.when(whole, F.size("both") * (100 + pct) >= pct * (F.col("n_a") + F.col("n_b"))).otherwise(F.size("both") >= T))
-    pairs = pairs.where(whole | (F.size(F.array_intersect(union, "both")) >= T))
+    t = least_shared(pct)
+    pairs = pairs.where(F.when(whole, F.size("both") * (100 + pct) >= pct * (F.col("n_a") + F.col("n_b"))).otherwise(F.size("both") >= t))
+    pairs = pairs.where(whole | (F.size(F.array_intersect(union, "both")) >= t))
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
@@ -155,6 +166,7 @@ def _overlaps(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 def _candidates(pct: int):
     """Of each block pair: the rows that take part in at least one candidate pair."""
+    t = least_shared(pct)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         a, b = _pairs(f.side.to_numpy())
@@ -165,7 +177,7 @@ def _candidates(pct: int):
         ok = np.minimum(n[a][:, None], n[b][None, :]) * 100 >= pct * np.maximum(n[a][:, None], n[b][None, :])
         # The union's K least values hold those of the intersection that are at most the K-th of the union.
         both = _overlaps(sk, a, b)
-        need = np.where(np.maximum(n[a][:, None], n[b][None, :]) <= K, pct / (100.0 + pct) * (n[a][:, None] + n[b][None, :]) - 1e-6, float(T))
+        need = np.where(np.maximum(n[a][:, None], n[b][None, :]) <= K, pct / (100.0 + pct) * (n[a][:, None] + n[b][None, :]) - 1e-6, float(t))
         ok &= both >= need
         ok &= _first_here(f.earlier, a, b)
         ids = f.rep.to_numpy()
@@ -174,7 +186,7 @@ def _candidates(pct: int):
             x, y = sk[a[i]], sk[b[j]]
             if max(n[a[i]], n[b[j]]) > K:
                 u = np.union1d(x, y)[:K]
-                if np.isin(u, x, assume_unique=True).sum() + np.isin(u, y, assume_unique=True).sum() - len(u) < T:
+                if np.isin(u, x, assume_unique=True).sum() + np.isin(u, y, assume_unique=True).sum() - len(u) < t:
                     ok[i, j] = False
         live = np.zeros(len(f), bool)
         live[a[ok.any(axis=1)]] = True

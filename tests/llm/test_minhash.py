@@ -4,7 +4,7 @@ import pytest
 
 from loomline.llm import minhash
 from loomline.llm.graph import components
-from loomline.llm.common import Shared
+from loomline.llm.common import Shared, shingle_set
 
 
 def brute(rows):
@@ -72,3 +72,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3), (100, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Shared(spark)).collect()))
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 150, 200), 100)}
+
+
+def links(rows, percent):
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in rows for w in [t.split()]]
+    return {(i, j) for i, s in sets for j, t in sets if i < j and 100 * len(s & t) >= percent * len(s | t)}
+
+
+def grown(text, n, rnd):
+    """n more words, each of which makes a shingle of low hash."""
+    words = text.split()
+    for _ in range(n):
+        words.append(min((f"g{rnd.randrange(10**9)}" for _ in range(60)), key=lambda w: shingle_set(" ".join([*words[-4:], w]))[0]))
+    return " ".join(words)
+
+
+def test_pairs_at_80_against_brute_force(spark):
+    rnd, rows = random.Random(5), []
+    for g in range(40):
+        base = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(100))
+        # 96 common shingles and 2n of one text alone: from J = 0.75 to 0.86; in every second pair those are the least of all.
+        n = rnd.choice([8, 10, 11, 12, 13, 16])
+        more = (lambda: grown(base, n, rnd)) if g % 2 else (lambda: base + "".join(f" v{rnd.randrange(10**6)}" for _ in range(n)))
+        rows += [(2 * g, more()), (2 * g + 1, more())]
+    want = links(rows, 80)
+    assert want > links(rows, 85)
+    assert {(c, int(i)) for i, _, c, _ in run(spark, rows, percent=80) if i != c} == {(str(i), j) for i, j in want}

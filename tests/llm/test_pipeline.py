@@ -52,3 +52,10 @@ def test_stages(spark, sf):
     got = sorted((str(r.doc_id), r.n_tokens) for r in p.encode_texts(spark, mixed, sf).collect())
     assert got == sorted((str(r.doc_id), len(tk.encode(r.text or "", add_special_tokens=False).ids)) for r in mixed.collect())
     assert sorted((str(r.doc_id), r.n_tokens) for r in p.run(spark, sf).collect()) == got
+
+
+def test_near_duplicates_from_80_percent(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(g, " ".join([*words, *(f"{g}x{k}" for k in range(n))])) for g, n in ((1, 12), (2, 12), (3, 40))]  # J = 96 / 120, and 96 / 148
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
