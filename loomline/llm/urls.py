@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -62,33 +63,49 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     scheme = F.array(F.concat(F.lit("s:"), F.regexp_extract(F.coalesce(url, F.lit("")), "^([A-Za-z]*)://", 1)))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     ends = F.when(ending != "", F.array(F.concat(F.lit("e:"), ending))).otherwise(F.array().cast("array<string>"))
-    first = F.slice(parts, 1, 6)
-    return F.array_distinct(F.concat(scheme, F.slice(domains, 1, 5), first, ends, F.slice(F.array_distinct(keys), 1, 8)))
+    return F.array_distinct(F.concat(scheme, domains, parts, ends, keys))
 
 
 def mine(labelled: DataFrame, shared: Shared, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules from labelled token sets (tokens array<string>, verdict string): rule, tokens, size, key, verdict, confidence, lift, support.
 
     A rule is pruned if a rule with fewer of its tokens has at least its confidence for the same verdict. key is the
-    token of the fewest labelled URLs, by which an index lists the rule. With d tokens a URL at most, fewer than
-    2**d / support combinations are frequent, at any number of URLs.
+    token of the fewest labelled URLs, by which an index lists the rule.
+
+    Tokens below the support can't be in a rule and are left out of the transactions. Tokens of exactly the same URLs
+    are mined as one: a rule with two of them would be pruned, and each stands in turn in the rules of the one. With d
+    such classes of frequent tokens a URL at most, fewer than 2**d / support combinations are frequent, at any number
+    of URLs.
     """
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
-    items = shared.write(items, "transactions")
+    rows = shared.write(labelled.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    each = rows.select("row", "verdict", F.explode(F.array_distinct("tokens")).alias("token"))
+    same = ("freq", "h1", "h2")
+    single = each.groupBy("token").agg(F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("h2"))
+    single = single.where(F.col("freq") >= math.ceil(support * rows.count()))
+    classes = shared.write(single.groupBy(*same).agg(F.array_sort(F.collect_list("token")).alias("members")).withColumn("item", F.col("members")[0]), "classes")
+    # Fewer than d / support classes, d being the tokens of a URL.
+    found = each.join(F.broadcast(classes.select("item")), each.token == F.col("item")).groupBy("row").agg(F.collect_list("item").alias("items"))
+    items = rows.select("row", "verdict").join(found.hint("merge"), "row", "left")
+    items = shared.write(items.select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(_LABEL), "verdict")).alias("items")), "transactions")
     empty = "rule long, tokens array<string>, size int, key string, verdict string, confidence double, lift double, support double"
     if items.isEmpty():
         return shared.spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL)).where(~F.exists("antecedent", lambda x: x.startswith(_LABEL)))
     rules = shared.write(rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], len(_LABEL) + 1, 1 << 20).alias("verdict"), "confidence", "lift", "support"), "rules")
-    single = shared.write(model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq"), "tokens")
     # A rule's shorter parts with one token less, met by an equi-join on their text.
     text = lambda c: F.array_join(c, "\x01")
     less = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("out")).withColumn("part", text(F.array_remove(F.col("tokens"), F.col("out"))))
     short = rules.select(text("tokens").alias("part"), "verdict", F.col("confidence").alias("shorter"))
     beaten = less.join(short, ["part", "verdict"]).where("shorter >= confidence").select("tokens", "verdict").distinct()
     kept = rules.join(beaten, ["tokens", "verdict"], "left_anti")
-    ids = kept.withColumn("rule", F.xxhash64(text("tokens"), "verdict"))
+    # Every choice of one token from each class.
+    lists = kept.select("tokens", "verdict", F.explode("tokens").alias("item")).join(classes.select("item", "members"), "item").groupBy("tokens", "verdict").agg(F.collect_list("members").alias("lists"))
+    start = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("lists", start, lambda done, m: F.flatten(F.transform(done, lambda d: F.transform(m, lambda t: F.array_append(d, t)))))
+    kept = kept.join(lists, ["tokens", "verdict"]).withColumn("tokens", F.explode(choices)).drop("lists").withColumn("tokens", F.array_sort("tokens"))
+    ids = shared.write(kept.withColumn("rule", F.xxhash64(text("tokens"), "verdict")), "chosen")
+    single = classes.select(F.explode("members").alias("token"), "freq")
     rarest = ids.select("rule", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule").agg(F.min(F.struct("freq", "token")).alias("m"))
     out = ids.join(rarest, "rule").select("rule", "tokens", F.size("tokens").alias("size"), F.col("m.token").alias("key"), "verdict", "confidence", "lift", "support")
     return shared.write(out, "mined")

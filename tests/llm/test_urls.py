@@ -55,3 +55,23 @@ def test_mined_verdict(spark):
     got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(df, URL_RULES).where(F.col("page_id") >= 900).collect()}
     assert got[900][0] == "block" and "p0:es" in got[900][1]
     assert got[901] == ("allow", None)
+
+
+def test_every_token_is_mined_and_met(spark):
+    deep = "/".join("abcdefgh")
+    block = [(i, f"http://h{i}.example.org/es/{deep}/tell{i % 2}?" + "&".join(f"k{j}=1" for j in range(12))) for i in range(20)]
+    allow = [(100 + i, f"http://h{i}.example.org/en/2{i}/{deep}?z=1") for i in range(20)]
+    hosts = [(200 + i, f"http://far.a.b.c.d.e.f{i % 2}.org/q{i}") for i in range(20)] + [(300 + i, f"http://b{i}.example.org/es/w{i}") for i in range(20)]
+    asked = [(900, "x://n.net/1/2/3/4/5/6/7/8/9/tell0"), (901, "x://n.net/?" + "&".join(f"o{j}" for j in range(9)) + "&k11"), (902, "x://n.net/")]
+    df = spark.createDataFrame([*block, *allow, *hosts, *asked], "page_id long, url string")
+    tokens = {r.page_id: set(r.t) for r in df.select("page_id", urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("t")).collect()}
+    assert {"p9:tell0", "q:k11"} <= tokens[0] and {"p9:tell0", "q:o8", "q:k11"} <= tokens[900] | tokens[901]
+    assert {"d:far.a.b.c.d.e.f0.org", "d:org"} <= tokens[200]
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(df, URL_RULES).where("page_id >= 900").collect()}
+    assert got[900] == ("block", "p9:tell0") and got[901] == ("block", "q:k11") and got[902][0] == "allow"
+
+
+def test_tokens_of_the_same_urls(spark):
+    rows = [([*(f"k{j}" for j in range(30)), f"n{i % 3}", "x"], "block" if i % 3 else "allow") for i in range(30)] + [(["x", f"n{i % 3}"], "allow") for i in range(30)]
+    got = {(tuple(r.tokens), r.verdict, round(r.confidence, 9)) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), Shared(spark), 0.05, 0.8).collect()}
+    assert got == {(("n0",), "allow", 1.0), *((tuple(sorted((f"k{j}", f"n{i}"))), "block", 1.0) for j in range(30) for i in (1, 2))}
