@@ -1,4 +1,4 @@
-"""Media columns: audio fingerprints from pitch-class frames, aligned by offset histograms and bit errors."""
+"""Media columns: audio fingerprints from pitch-class frames, aligned by bit errors at every offset."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from .common import Shared, arrow_map
 
 #: Samples a second, samples of a frame and from one frame to the next, widest filter in frames.
 RATE, FRAME, HOP, WIDTH = 5512, 2048, 682, 16
-#: Equal codes at one offset that make two recordings candidates; most share of unlike bits of a match; least share of the shorter one that overlaps.
+#: Equal codes at one offset by which copies with few errors can be told; most share of unlike bits of a match; least share of the shorter one that overlaps.
 VOTES, ERRORS, OVERLAP = 3, 0.2, 0.5
+#: Entries, and queries, that one task compares with each other at once.
+BLOCK = 2048
 #: Limits of the four steps that a filter's value (a difference of logarithms) falls in.
 STEPS = (-0.25, 0.0, 0.25)
 
@@ -122,30 +125,70 @@ def fingerprints(rows: DataFrame, media_col: str, id_col: str, decode: Callable[
     return arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, codes array<int>").withColumnRenamed("id", id_col)
 
 
-def align(prints: DataFrame, queries: DataFrame, id_col: str, votes: int = VOTES, errors: float = ERRORS, overlap: float = OVERLAP) -> DataFrame:
+def _aligned(x: np.ndarray, xs: np.ndarray, y: np.ndarray, errors: float, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least share of unlike bits of y with each column of x, over all offsets with enough overlap, and that offset; infinite over the errors allowed. xs: x in pairs."""
+    (n, m), k, ys = x.shape, len(y), _in_pairs(y)[:, None]
+    least, at = np.full(m, np.inf), np.zeros(m, np.int64)
+    for off in sorted(range(1 - k, n), key=lambda o: (abs(o), -o)):
+        i, j = max(off, 0), max(-off, 0)
+        size = min(n - i, k - j)
+        if size < overlap * min(n, k):
+            continue
+        wrong = np.zeros(m, np.uint32)
+        for c in range(0, size - 1, 6):  # three pairs of codes have 192 bits, which a byte can count
+            d = min(6, size - c) - 1
+            wrong += np.add.reduce(np.bitwise_count(xs[i + c : i + c + d : 2] ^ ys[j + c : j + c + d : 2]), 0, np.uint8)
+        if size % 2:
+            wrong += np.bitwise_count(x[i + size - 1] ^ y[j + size - 1])
+        low = np.flatnonzero(wrong <= int(32 * size * errors) + 1)
+        if len(low):
+            share = wrong[low] / (32 * size)
+            better = (share <= errors) & (share < least[low])
+            least[low[better]], at[low[better]] = share[better], off
+    return least, at
+
+
+def _in_pairs(x: np.ndarray) -> np.ndarray:
+    """Each code with the next."""
+    return x[:-1] | x[1:].astype(np.uint64) << np.uint64(32)
+
+
+def _matches(errors: float, overlap: float):
+    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out, lens = [], entries.codes.map(len).to_numpy(np.int64)
+        for n in np.unique(lens) if len(queries) else ():
+            part = entries[lens == n]
+            x = np.ascontiguousarray(np.array([np.asarray(c, np.int32) for c in part.codes]).view(np.uint32).T)
+            xs = _in_pairs(x)
+            for q, q2, codes in zip(queries.q, queries.q2, queries.codes, strict=True):
+                wrong, at = _aligned(x, xs, np.asarray(codes, np.int32).view(np.uint32), errors, overlap)
+                hit = np.flatnonzero(np.isfinite(wrong))
+                out.append(pd.DataFrame({"q": q, "q2": q2, "e": part.e.to_numpy()[hit], "e2": part.e2.to_numpy()[hit], "off": at[hit].astype(np.int32), "n": part.n.to_numpy()[hit], "wrong": wrong[hit]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("q", "q2", "e", "e2", "off", "n", "wrong")})
+
+    return run
+
+
+def align(prints: DataFrame, queries: DataFrame, id_col: str, errors: float = ERRORS, overlap: float = OVERLAP) -> DataFrame:
     """Returns id_col, n_matches, best_id, best_offset, best_errors: one row for each row of queries (id_col, codes), searched in all of prints.
 
-    Recordings with equal codes are one entry. An inverted index of the queries' codes meets all entries' codes; the
-    histogram of offsets gives each candidate its best (the most votes, then the least shift); the share of unlike
-    bits where the two overlap there decides. n_matches counts other recordings; the best has the least share, then
-    the least id. Queries without codes or matches get 0 and nulls. A null id is searched, but never a best match.
+    Recordings with equal codes are one entry. Blocks of entries meet blocks of queries; at every offset where the two
+    overlap enough, the share of unlike bits is taken. The offset with the least share (then the least shift) decides.
+    No index goes before: near the allowed errors, equal codes or parts of codes are as rare as by chance. The work
+    grows with the entries times the queries, and for each pair with the product of the numbers of codes.
+    n_matches counts other recordings; the best has the least share, then the least id. Queries without codes or
+    matches get 0 and nulls. A null id is searched, but never a best match.
     """
     shared = Shared(prints.sparkSession)
-    entries = prints.where(F.size("codes") > 0).groupBy("codes").agg(F.min(id_col).alias("first"), F.count("*").alias("n"))
+    entries = prints.where(F.size("codes") > 0).groupBy("codes").agg(F.count("*").alias("n"))
     entries = shared.write(entries.withColumn("e", F.xxhash64("codes")).withColumn("e2", F.xxhash64(F.lit(7), "codes")), "entries")
     asked = shared.write(queries.select(F.col(id_col).alias("id"), "codes"), "asked")
     q = shared.write(asked.where(F.size("codes") > 0).select("codes").distinct().select(F.xxhash64("codes").alias("q"), F.xxhash64(F.lit(7), "codes").alias("q2"), "codes"), "q")
-    left = entries.select("e", "e2", F.posexplode("codes").alias("at", "code"))
-    right = q.select("q", "q2", F.posexplode("codes").alias("q_at", "code"))
-    hits = left.join(right, "code").groupBy("q", "q2", "e", "e2", (F.col("at") - F.col("q_at")).alias("off")).count().where(F.col("count") >= votes)
-    best = hits.groupBy("q", "q2", "e", "e2").agg(F.max(F.struct("count", (-F.abs("off")).alias("near"), "off")).alias("b"))
-    best = shared.write(best.select("q", "q2", "e", "e2", F.col("b.off").alias("off")), "best")
-    pairs = best.join(entries.select("e", "e2", "first", "n", F.col("codes").alias("x")), ["e", "e2"]).join(q.withColumnRenamed("codes", "y"), ["q", "q2"])
-    start_x, start_y = F.greatest(F.col("off"), F.lit(0)), F.greatest(-F.col("off"), F.lit(0))
-    size = F.least(F.size("x") - start_x, F.size("y") - start_y)
-    wrong = F.aggregate(F.zip_with(F.slice("x", start_x + 1, size), F.slice("y", start_y + 1, size), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, v: a + v)
-    pairs = pairs.withColumn("size", size).where(F.col("size") >= overlap * F.least(F.size("x"), F.size("y"))).withColumn("wrong", wrong / (32 * F.col("size")))
-    found = pairs.where(F.col("wrong") <= errors).select("q", "q2", "e", "e2", "off", "first", "n", "wrong")
+    n_e, n_q = (max(1, -(-x.count() // BLOCK)) for x in (entries, q))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = entries.withColumn("a", F.pmod("e", F.lit(n_e)).cast("int")).withColumn("b", every(n_q)).groupBy("a", "b")
+    right = q.withColumn("b", F.pmod("q", F.lit(n_q)).cast("int")).withColumn("a", every(n_e)).groupBy("a", "b")
+    found = left.cogroup(right).applyInPandas(_matches(errors, overlap), "q long, q2 long, e long, e2 long, off int, n long, wrong double")
     found = shared.write(found, "found")
     sums = found.groupBy("q", "q2").agg(F.sum("n").alias("n"))
     # An entry's least id may be the query itself; then its second least stands for it, so ids join by entry.

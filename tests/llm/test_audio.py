@@ -72,3 +72,27 @@ def test_sung():
     err = lambda x, y: np.bitwise_count((x ^ y).view(np.uint32)).mean() / 32
     assert len(a) > 20 and err(a, b) < audio.ERRORS < err(a, c)
     assert len(audio.sung(None)) == len(audio.sung([0.0, 0.0])) == len(audio.sung([None, 1.0])) == len(audio.sung([float("nan")])) == 0
+
+
+def test_every_match_by_bit_errors_alone(spark, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", 8, raising=False)  # several blocks
+    rnd, rows = np.random.default_rng(3), []
+    for g in range(12):
+        x = rnd.integers(0, 2**32, 2 if g == 0 else 48, dtype=np.uint32)
+        flips = (rnd.random((len(x), 32)) < (0.0, 0.12, 0.18)[g % 3]) @ (1 << np.arange(32, dtype=np.uint64))
+        y = (x ^ flips.astype(np.uint32))[0 if g == 0 else g :]
+        rows += [(2 * g, x.view(np.int32).tolist()), (2 * g + 1, y.view(np.int32).tolist())]
+    rows.append((24, []))
+    prints = spark.createDataFrame(rows, "rec_id long, codes array<int>")
+    want = []
+    for i, q in rows:
+        found = []
+        for j, x in rows:
+            for off in range(1 - len(q), len(x)):
+                pairs = [(x[b + off], q[b]) for b in range(len(q)) if 0 <= b + off < len(x)]
+                wrong = sum(((u ^ v) & 0xFFFFFFFF).bit_count() for u, v in pairs) / max(1, 32 * len(pairs))
+                if pairs and j != i and len(pairs) >= audio.OVERLAP * min(len(x), len(q)) and wrong <= audio.ERRORS:
+                    found.append((wrong, j, off))
+        want.append((i, len({j for _, j, _ in found}), *(min(found, key=lambda f: (f[0], f[1], abs(f[2])))[1:] if found else (None, None))))
+    assert sum(w[1] > 0 for w in want) == 24
+    assert sorted((r.rec_id, r.n_matches, r.best_id, r.best_offset) for r in audio.align(prints, prints, "rec_id").collect()) == want
