@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,16 +21,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Places where a credential stands: a wider set of names and separators than ASSIGN's, values with any printable characters.
-CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth(?:orization)?|login|pin)["'\])]?\x20{0,4}(?::=|=>|[:=]|\x20is\x20)\x20{0,4}(?:(?i:bearer|basic)\x20)?["'(\[]?([!-~]+)""",
+#: Places where a credential stands: a wider set of names and separators than ASSIGN's. The value follows: printable characters.
+PLACE = re.compile(
+    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth(?:orization)?|login|pin)["'\])]?\x20{0,4}(?::=|=>|[:=]|\x20is\x20)\x20{0,4}(?:(?i:bearer|basic)\x20)?["'(\[]?(?=[!-~])""",
     re.ASCII,
 )
+_VALUE = re.compile("[!-~]+")
+#: Where a value that runs on into the next credential ends.
+_NEXT = re.compile("[,;&|]")
 _TRIM = "\"'`,;.()[]{}<>|"
 #: Guesses (as a power of ten) from which a value counts as a secret rather than a word, a placeholder or prose.
 MIN_GUESSES = 8.0
-#: Longest value that is segmented as a whole; longer ones are costed in runs of this length and the costs added.
-RUN = 64
+#: Longest unit of a repeat; a longer one is costed by its own segments. It is part of what a repeat is, at every length of value.
+UNIT = 32
+#: What each segment adds: the next one's kind must be guessed among six.
+_KIND = math.log10(6)
 
 #: Rows of a keyboard, as they stand. Fixed values.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -36,15 +44,23 @@ _YEARS = re.compile(r"(?:19|20)\d\d")
 _DATES = re.compile(r"(\d{1,4})([-/._ ]?)(\d{1,2})\2(\d{1,4})")
 
 
+class Ranks(dict):
+    """Words and their ranks; longest: the most characters of a word."""
+
+    def __init__(self, words):
+        super().__init__(words)
+        self.longest = max(map(len, self), default=0)
+
+
 @lru_cache(maxsize=4)
-def ranks(tokenizer: str) -> dict[str, int]:
-    """Words and their ranks: the whole lower-case words of a public vocabulary file, in its order (49,000 at most)."""
+def ranks(tokenizer: str) -> Ranks:
+    """The whole lower-case words of a public vocabulary file, in its order (49,000 at most)."""
     import json
 
     with open(tokenizer, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = sorted((i, w[:-4]) for w, i in vocab.items() if w.endswith("</w>") and len(w) > 6 and w[:-4].isascii() and w[:-4].isalpha())
-    return {w: k for k, (_, w) in enumerate(words, 1)}
+    return Ranks({w: k for k, (_, w) in enumerate(words, 1)})
 
 
 _AT = {c: (r, i + r * 0.5) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -60,10 +76,21 @@ def _step(kind: str, a: str, b: str) -> tuple[float, float] | int | None:
     return way if max(map(abs, way)) <= 1 else None
 
 
+def _class(c: str) -> int:
+    """Digit, lower case, upper case or another character, as a bit."""
+    return 1 if c.isdigit() else 2 if c.islower() else 4 if c.isupper() else 8
+
+
+#: Cost of a character guessed from a set of classes, in log10.
+_RATE = [math.log10(max(10, 10 * (m & 1) + 13 * (m & 2) + 26 * (m >> 2 & 1) + 33 * (m >> 3))) for m in range(16)]
+
+
 def _brute(s: str) -> float:
-    """Cost of guessing a run character by character, in log10."""
-    n = 10 * any(c.isdigit() for c in s) + 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s) + 33 * any(not c.isalnum() for c in s)
-    return len(s) * math.log10(max(n, 10))
+    """Cost of guessing a run character by character from the classes that it has, in log10."""
+    m = 0
+    for c in s:
+        m |= _class(c)
+    return len(s) * _RATE[m]
 
 
 def _case(word: str) -> float:
@@ -76,32 +103,46 @@ def _case(word: str) -> float:
     return math.log10(sum(math.comb(len(word), k) for k in range(1, min(up, len(word) - up) + 1)) or 2)
 
 
-def _spans(s: str, words: dict[str, int]) -> list[tuple[int, int, float, str]]:
-    """Matches (start, end, log10 guesses, kind) of words, years, dates, repeats, keyboard walks and sequences."""
-    out, n, low = [], len(s), s.lower()
-    plain = low.translate(_LEET)
+def _repeats(s: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, unit) of repeats: from any place, a unit of at most UNIT characters that is no repeat itself, as often as it goes on, three characters or more in all."""
+    x, n = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"), len(s)
+    same: dict[int, np.ndarray] = {}
+    for u in range(1, min(UNIT, n // 2) + 1):
+        # How many characters in a row equal those u places on.
+        other = np.flatnonzero(np.append(x[u:] != x[:-u], True))
+        r = same[u] = other[np.searchsorted(other, np.arange(n - u + 1))] - np.arange(n - u + 1)
+        times = r // u + 1
+        hit = (times >= 2) & (times * u >= 3)
+        for v in range(1, u // 2 + 1):
+            if u % v == 0:
+                hit &= same[v][: len(hit)] < u - v
+        for i in np.flatnonzero(hit).tolist():
+            yield i, i + int(times[i]) * u, u
+
+
+def _spans(s: str, words: Ranks) -> dict[int, list[tuple[int, float, str]]]:
+    """Matches by start: (end, log10 guesses, kind) of words, years, dates, repeats, keyboard walks and sequences."""
+    out, n, low = defaultdict(list), len(s), s.lower()
+    if len(low) != n:  # a few letters have a lower case of two characters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+    plain, two = low.translate(_LEET), math.log10(2)
     for i in range(n):
-        for j in range(i + 3, min(n, i + 20) + 1):
-            for form, extra in ((low, 0.0), (plain, math.log10(2))):
-                if (r := words.get(form[i:j])) and (form is low or plain[i:j] != low[i:j]):
-                    out.append((i, j, math.log10(r) + extra + _case(s[i:j]), "word"))
-            if (r := words.get(low[i:j][::-1])) and j - i > 3:
-                out.append((i, j, math.log10(r) + math.log10(2) + _case(s[i:j]), "word"))
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            w = low[i:j]
+            if r := words.get(w):
+                out[i].append((j, math.log10(r) + _case(s[i:j]), "word"))
+            if (p := plain[i:j]) != w and (r := words.get(p)):
+                out[i].append((j, math.log10(r) + two + _case(s[i:j]), "word"))
+            if j - i > 3 and (r := words.get(w[::-1])):
+                out[i].append((j, math.log10(r) + two + _case(s[i:j]), "word"))
     for m in _YEARS.finditer(s):
-        out.append((*m.span(), math.log10(120), "date"))
+        out[m.start()].append((m.end(), math.log10(120), "date"))
     for i in range(n):
-        m = _DATES.match(s, i)
+        m = s[i].isdigit() and _DATES.match(s, i)
         if m and 4 <= m.end() - i <= 10 and any(1 <= int(d) <= 31 and 1 <= int(mo) <= 12 for d, mo in ((m[1], m[3]), (m[3], m[1]), (m[4], m[3]), (m[3], m[4]))):
-            out.append((i, m.end(), math.log10(365 * 100 * (4 if m[2] else 1)), "date"))
-    for unit in range(1, n // 2 + 1):  # repeats of a unit
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while s[j : j + unit] == s[i : i + unit] and j + unit <= n:
-                j += unit
-            if j - i >= max(3, 2 * unit):
-                out.append((i, j, _brute(s[i : i + unit]) + math.log10((j - i) / unit), "repeat"))
-            i = j - unit + 1 if j > i + unit else i + 1
+            out[i].append((m.end(), math.log10(365 * 100 * (4 if m[2] else 1)), "date"))
+    for i, j, unit in _repeats(s):
+        out[i].append((j, _brute(s[i : i + unit]) + math.log10((j - i) / unit), "repeat"))
     for kind in ("walk", "sequence"):
         i = 0
         while i < n - 2:
@@ -111,55 +152,43 @@ def _spans(s: str, words: dict[str, int]) -> list[tuple[int, int, float, str]]:
                 way, j = step, j + 1
             if j - i >= 2:
                 cost = math.log10(47 * (j + 1 - i)) + turns * math.log10(4.6) if kind == "walk" else math.log10(26 * (j + 1 - i))
-                out.append((i, j + 1, cost + _case(s[i : j + 1]), kind))
+                out[i].append((j + 1, cost + _case(s[i : j + 1]), kind))
             i = max(j, i + 1)
     return out
 
 
-def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, words: Ranks) -> tuple[float, list[tuple[int, int, str]]]:
     """Least log10 guesses of a value over all segmentations, and the segments.
 
-    Dynamic programme over positions and numbers of segments: the cost of l segments is log10 l! plus the sum of
-    theirs, and every segment adds a floor for trying shorter sequences first.
+    A segment is a match (words, dates, repeats, keyboard walks, sequences) or a brute-force span; it costs its own
+    guesses, ten at least, times the number of kinds. So costs add up, and the least of the whole value is exact by a
+    dynamic programme over its places: every match is an arc, and a brute-force span is kept open for each set of
+    character classes, which costs the same for each character. Steps and memory grow with the length.
     """
-    total, segments = 0.0, []
-    for at in range(0, len(value), RUN):
-        s = value[at : at + RUN]
-        cost, seg = _segment(s, words)
-        total += cost
-        segments += [(i + at, j + at, k) for i, j, k in seg]
-    return total, segments
-
-
-def _segment(s: str, words: dict[str, int]) -> tuple[float, list[tuple[int, int, str]]]:
-    n = len(s)
-    by_end: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, c, kind in _spans(s, words):
-        by_end[j].append((i, c, kind))
-    # best[j]: least cost of s[:j] with a match or the start behind it; a brute-force run never follows another.
-    best: list[list[tuple[float, int, int, str, int]]] = [[(0.0, 0, 0, "", 0)]] + [[] for _ in range(n)]
-    for j in range(1, n + 1):
-        found: dict[tuple[int, bool], tuple[float, int, int, str, int]] = {}
-        options = [(i, c, kind) for i, c, kind in by_end[j]] + [(i, _brute(s[i:j]), "brute") for i in range(j)]
-        for i, c, kind in options:
-            for k, (cost, _, _, last, parts) in enumerate(best[i]):
-                if kind == "brute" and last == "brute":
-                    continue
-                new = (cost + max(c, 1.0), i, k, kind, parts + 1)
-                key = (min(parts + 1, 6), kind == "brute")
-                if key not in found or new[0] < found[key][0]:
-                    found[key] = new
-        best[j] = sorted(found.values())[:8]
-    if not n:
-        return 0.0, []
-    ends = [(c + math.log10(math.factorial(min(parts, 20))), k) for k, (c, _, _, _, parts) in enumerate(best[n])]
-    cost, k = min(ends)
-    seg, j = [], n
+    n, spans = len(value), _spans(value, words)
+    best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+    run, since = [math.inf] * 16, [0] * 16
+    for j, ch in enumerate(value):
+        b = best[j] + _KIND
+        for end, c, kind in spans.get(j, ()):
+            if (new := b + max(c, 1.0)) < best[end]:
+                best[end], back[end] = new, (j, kind)
+        bit = _class(ch)
+        for m in range(1, 16):
+            if not m & bit:
+                run[m] = math.inf
+                continue
+            if b < run[m]:
+                run[m], since[m] = b, j
+            run[m] += _RATE[m]
+            if run[m] < best[j + 1]:
+                best[j + 1], back[j + 1] = run[m], (since[m], "brute")
+    out, j = [], n
     while j:
-        _, i, prev, kind, _ = best[j][k]
-        seg.append((i, j, kind))
-        j, k = i, prev
-    return cost, seg[::-1]
+        i, kind = back[j]
+        out.append((i, j, kind))
+        j = i
+    return best[n], out[::-1]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -168,10 +197,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, words: dict[str, int], least: float, known: dict[str, float]) -> list[tuple[str, int, int, float]]:
-    out = []
-    for m in CONTEXT.finditer(text):
-        v = m[1].rstrip(_TRIM).lstrip(_TRIM)
+def guess_spans(text: str, words: Ranks, least: float, known: dict[str, float]) -> list[tuple[str, int, int, float]]:
+    """Values in a credential's place of six characters or more. One that runs on into the next credential ends there; no value starts within another."""
+    out, end = [], 0
+    for m in PLACE.finditer(text):
+        if m.end() < end:
+            continue
+        start, end = _VALUE.match(text, m.end()).span()
+        for cut in _NEXT.finditer(text, start, end):
+            if PLACE.match(text, cut.end()):
+                end = cut.start()
+                break
+        v = text[start:end].rstrip(_TRIM)
+        start += len(v) - len(v := v.lstrip(_TRIM))
         if len(v) < 6:
             continue
         if (cost := known.get(v)) is None:
@@ -179,7 +217,6 @@ def guess_spans(text: str, words: dict[str, int], least: float, known: dict[str,
                 known.clear()
             cost = known[v] = guess_cost(v, words)[0]
         if cost >= least:
-            start = m.start(1) + m[1].index(v)
             out.append(("guess", start, start + len(v), cost))
     return out
 
@@ -195,8 +232,8 @@ def scan(docs: DataFrame, words: str, id_col: str = "doc_id", text_col: str = "t
     credential's place whose guess cost is 10**least or more (guesses: its log10, else null). words: path of a
     vocabulary file whose whole words, in order of rank, are the dictionary.
 
-    Null and empty texts give an empty list. Texts are scanned whole at any length: every pattern is linear in it, and
-    a value's cost is found in runs of RUN characters. Repeated rows give a row each; extra columns are left out.
+    Null and empty texts give an empty list. Texts and values are scanned whole at any length, in steps that grow with
+    it. Repeated rows give a row each; extra columns are left out.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known: dict[str, float] = {}

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -28,7 +31,56 @@ def test_guess_cost_ranks():
     kinds = [k for _, _, k in secrets.guess_cost("password1987", words)[1]]
     assert kinds == ["word", "date"]
     assert secrets.guess_cost("", words) == (0.0, [])
-    assert cost("z9Qx" * 60) > 20
+    assert cost("*" * 200) < 5 and cost("z9Qx" * 60) < 12  # one repeat
+
+
+def plainest(s, words):
+    """Every segmentation, one by one."""
+    arcs = [[(end, max(c, 1.0)) for end, c, _ in secrets._spans(s, words).get(i, ())] + [(j, secrets._brute(s[i:j])) for j in range(i + 1, len(s) + 1)] for i in range(len(s))]
+
+    def least(i):
+        return min(c + math.log10(6) + least(j) for j, c in arcs[i]) if i < len(s) else 0.0
+
+    return least(0)
+
+
+def test_guess_cost_is_the_least():
+    words, rnd = secrets.ranks(WORDS), random.Random(3)
+    parts = ["12-05-99", "qwe", "sun", "1987", "aaa", "abab", "Zq", "zxc", "love", "!", "P4ss", "321"]
+    values = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 5)))[:11] for _ in range(150)] + ["".join(rnd.choice("aB1!") for _ in range(rnd.randrange(1, 10))) for _ in range(100)]
+    for s in values:
+        cost, seg = secrets.guess_cost(s, words)
+        assert abs(cost - plainest(s, words)) < 1e-9, s
+        assert "".join(s[i:j] for i, j, _ in seg) == s
+
+
+def test_repeats_and_long_values():
+    words = secrets.ranks(WORDS)
+    for s in ("aaaaab", "abcabcab", "xyxyxyx", "aabaab" * 3, "q" * 70 + "r"):
+        want = set()
+        for i in range(len(s)):
+            for u in range(1, len(s) // 2 + 1):
+                unit, k = s[i : i + u], 1
+                while s[i + k * u : i + (k + 1) * u] == unit:
+                    k += 1
+                if k > 1 and k * u >= 3 and u <= secrets.UNIT and (unit + unit).find(unit, 1) == u:
+                    want.add((i, i + k * u, u))
+        assert set(secrets._repeats(s)) == want
+    start = time.time()
+    for s in ("a" * 100_000, "".join(random.Random(1).choices("abcdef0123456789", k=100_000))):
+        assert secrets.guess_cost(s, words)[1][-1][1] == len(s)
+    assert time.time() - start < 60
+    # A word over what once was a cut, and one of over 20 characters.
+    assert ("word" in [k for *_, k in secrets.guess_cost("x9" * 31 + "sunshine", words)[1]])
+    more = secrets.Ranks({"incomprehensibilitiesandmore": 5})
+    assert secrets.guess_cost("incomprehensibilitiesandmore", more)[1][0][2] == "word"
+
+
+def test_two_credentials_without_a_space():
+    words = secrets.ranks(WORDS)
+    got = lambda t: [t[i:j] for _, i, j, _ in secrets.guess_spans(t, words, 8.0, {})]
+    assert got("password=xK9#vQ2$mZ7!,token=zQ8!vLp0#rT") == ["xK9#vQ2$mZ7!", "zQ8!vLp0#rT"]
+    assert got("pwd=xK9#v,Q2$mZ7!") == ["xK9#v,Q2$mZ7!"] and got("secret: (zQ8!vLp0#rT)") == ["zQ8!vLp0#rT"]
 
 
 def test_segments_cover_the_value():
