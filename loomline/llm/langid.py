@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,11 @@ SLOTS = 1 << 16
 TEMPER = 0.25
 #: Pages that a level of the host hierarchy, a declared language or a suffix must outweigh.
 PRIOR = 5.0
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
-_LANG = re.compile(r"""<(?:html|body)\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b|http-equiv\s*=\s*["']?content-language["']?\s+content\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.IGNORECASE)
+#: Elements whose content isn't shown, and a declared language. Fixed values.
+_HIDDEN = re.compile(r"<(script|style|noscript|template)\b", re.IGNORECASE)
+_ROOT = re.compile(r"<(?:html|body)\b", re.IGNORECASE)
+_LANG = re.compile(r"""\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.IGNORECASE)
+_HTTP = re.compile(r"""http-equiv\s*=\s*["']?content-language["']?\s+content\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.IGNORECASE)
 
 
 @dataclass
@@ -41,13 +45,47 @@ def slots_of(text: str) -> np.ndarray:
     return (mixed(tri + np.uint64(0x51ED)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def _shown(page: str) -> Iterator[str]:
+    """What stands between comments, hidden elements and tags. What has no end isn't one: once an end is not found, it is not looked for again, so the steps grow with the page."""
+    at, missing = 0, set()
+
+    def after(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        m = re.compile(what, re.IGNORECASE).search(page, start)
+        if m is None:
+            missing.add(what)
+        return m.end() if m else -1
+
+    while (i := page.find("<", at)) >= 0:
+        end = after("-->", i + 4) if page.startswith("<!--", i) else -1
+        if end < 0 and (m := _HIDDEN.match(page, i)):
+            end = after(rf"</{m[1].lower()}\s*>", i)
+        if end < 0:
+            end = after(">", i)
+        if end < 0:
+            break
+        yield page[at:i]
+        at = end
+    yield page[at:]
+
+
 def visible_text(page: str | None) -> str:
-    return html.unescape(_DROP.sub(" ", page)) if page else ""
+    return html.unescape(" ".join(_shown(page))) if page else ""
 
 
 def declared_language(page: str | None) -> str:
-    m = _LANG.search(page) if page else None
-    return (m[1] or m[2]).lower() if m else ""
+    """The language of the first html or body tag, or content-language header, that has one; empty without."""
+    if not page:
+        return ""
+    other, at = _HTTP.search(page), 0
+    while (m := _ROOT.search(page, at)) and (other is None or m.start() < other.start()):
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        if lang := _LANG.search(page, m.end(), end):
+            return lang[1].lower()
+        at = end
+    return other[1].lower() if other else ""
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:

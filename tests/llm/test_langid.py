@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 
 import numpy as np
 
@@ -64,6 +66,23 @@ def test_declared_and_text():
     assert langid.visible_text("a<style>b</style><b>c &amp; d</b><!-- e -->").split() == ["a", "c", "&", "d"]
 
 
+def test_scanner_is_linear_and_reads_as_the_pattern():
+    drop = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>", re.IGNORECASE | re.DOTALL)
+    said = re.compile(r"""<(?:html|body)\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z]{2,3})\b|http-equiv\s*=\s*["']?content-language["']?\s+content\s*=\s*["']?\s*([A-Za-z]{2,3})\b""", re.IGNORECASE)
+    rnd = random.Random(2)
+    bits = ["<!--", "-->", "<script", "<SCRIPT>", "</script >", "</style>", "<style>", "<b>", ">", "<", "text ", "<html", " lang=de", " xml:lang='fr'", "<body x", "http-equiv=content-language content=es ", "\n"]
+    for _ in range(3000):
+        page = "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))
+        assert langid.visible_text(page) == drop.sub(" ", page), page
+        m = said.search(page)
+        assert langid.declared_language(page) == ((m[1] or m[2]).lower() if m else ""), page
+    start = time.time()
+    for bit in ("<!--", "<script", "<html ", "<", "</script  ", "<html lang "):
+        page = bit * (1_000_000 // len(bit))
+        assert langid.visible_text(page).strip() == page.strip() and langid.declared_language(page) == ""
+    assert time.time() - start < 10
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([(1, "http://a.b", "x")], "page_id long, url string, html string")
