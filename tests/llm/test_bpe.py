@@ -13,20 +13,36 @@ TK = Tokenizer.from_file(PATH)
 
 
 def want(text):
+    """What the library says of the whole text."""
     ids = TK.encode(text or "", add_special_tokens=False).ids
     return ids, TK.decode(ids, skip_special_tokens=False)
 
 
-def test_tree_equals_whole():
-    c, rnd = bpe.coder(PATH), random.Random(1)
-    c.plain()
-    for trial in range(120):
-        abc = ["ab", "a", "thein", "abcdefghijklmnopqrstuvwxyz", "ĠÃ©Ã¨abc", "=-_"][trial % 6]
-        s = "".join(rnd.choice(abc) for _ in range(rnd.randint(2, 400)))
-        whole = [t.id for t in TK.model.tokenize(s)]
-        for size in (1, 3, 16, 50):
-            pieces = [s[i : i + size] for i in range(0, len(s), size)]
-            assert c.tree([c.leaf(p, k + 1 == len(pieces)) for k, p in enumerate(pieces)]) == whole
+@pytest.mark.parametrize(("leaf", "window"), [(1, 2), (7, 3), (40, 20), (150, 64), (1024, 64)])
+def test_tree_equals_whole(leaf, window, monkeypatch):
+    """Cuts anywhere: in words, numbers, contractions, special tokens and composed characters."""
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "WINDOW", max(window, bpe.MARGIN + 1) if leaf < 40 else window)
+    c, rnd = bpe.Coder(PATH), random.Random(leaf)
+    bits = [list("ab"), ["a"], ["the", "in", "'", "s", "'ll"], list("abcdefghijklmnopqrstuvwxyz"), ["é", "è", "e", "\u0301", "東", "京", "🎉", "ㅎ", "\u1112", "\u1161", "\u11ab"], list("=-_!'s"), ["don't ", "<|endoftext|>", "<|", "\n", "12", "x", "\x0b", "\xa0", "\x1c"], ["Hello, ", "World's ", "42 ", "naïve "], ["東"], ["''", "'s", "!"]]
+    for trial in range(150):
+        n = rnd.choice([5, 60, 400, 1500])
+        text = "".join(rnd.choices(bits[trial % len(bits)] + (bits[rnd.randrange(len(bits))] if trial % 3 == 0 else []), k=n))
+        assert c.root(c.block(text)).tolist() == want(text)[0], text
+
+
+def test_windows_stay_small(monkeypatch):
+    """Unsplit text is joined by windows that don't grow with it, also where a character has several tokens."""
+    c, rnd = bpe.Coder(PATH), random.Random(2)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        left, right = (c.block("".join(rnd.choices(letters, k=40_000))) for _ in range(2))
+        seen = []
+        coded = c._coded
+        monkeypatch.setattr(c, "_coded", lambda t: seen.append(len(t)) or coded(t))
+        both = c.join(left, right)
+        assert max(seen) < 2000
+        assert both.head.ids.tolist() == want(both.head.text)[0]
+        monkeypatch.undo()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +50,8 @@ def texts():
     rnd = random.Random(3)
     long = "".join(rnd.choice("abcdefghij") for _ in range(30_000))
     odd = ["", None, " ", "Hello, World's 42 tests", "a<|endoftext|>b <|STARTOFTEXT|>", "x\x1cy\x85z\xa0q w é ÉÀß İI ﬁ", "́a ́b", "naïve 東京都 🎉🎉 don't", "\x00\x0b\x0c\x7f"]
-    return [*odd, long, f"{long} and {long[::-1]}<|endoftext|>{long}'s " * 2, "東" * 9000 + " x", "é" * 5000 + "1" * 6000 + "!" * 6000, odd[3]]
+    return [*odd, long, f"{long} and {long[::-1]}<|endoftext|>{long}'s " * 2, "東" * 9000 + " x", "é" * 5000 + "1" * 6000 + "!" * 6000, odd[3],
+            "".join(rnd.choice("abcdefghij é'東1") for _ in range(200_000)), "".join(rnd.choice("abcdé東") for _ in range(150_000)), "x" + "the cat sat on\n" * 14_000]
 
 
 def test_encode(spark, texts):
