@@ -73,6 +73,19 @@ class Shared:
                 delete(self.spark, path)
 
 
+#: A key is hot if it has more than this share of all rows; fewer than one over it can.
+HOT = 1 / 4096
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows with their row of table, inner. table: unique in `on`, small rows; n: its column that holds how many of the
+    `total` rows have the key. Hot keys, of which there are fewer than 1 / HOT at any size, are broadcast, so their
+    rows stay where they are; all others are merged, and none of them fills a task."""
+    hot = F.broadcast(table.where(F.col(n) > total * HOT))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(table.where(F.col(n) <= total * HOT).hint("merge"), on)
+    return cold.unionByName(rows.join(hot, on))
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows with the least hashes of a key. A bound on the hash, known from the number of rows, keeps what tasks
     send to the driver near n rows in all, however many tasks there are."""

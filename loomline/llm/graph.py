@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .common import Shared
 
 
-def components(edges: DataFrame, shared: Shared) -> DataFrame:
+def components(edges: DataFrame, shared: Shared, name: str = "components") -> DataFrame:
     """edges: a, b long. Returns v, comp: each vertex with the smallest vertex that edges reach from it.
 
     Every round maps each vertex to the least vertex two hooks away and contracts the edges, so a star takes one
     round and a path of n vertices about log n. All state is in tables of the shared folder; nothing is collected
-    but row counts. Null ends and loops are ignored; an empty edge table gives an empty result.
+    but row counts. Null ends and loops are ignored; an empty edge table gives an empty result. name: what `shared` has
+    the result under, unless it is empty.
     """
     live = shared.write(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges0")
     hooks: list[DataFrame] = []
@@ -36,6 +37,6 @@ def components(edges: DataFrame, shared: Shared) -> DataFrame:
     for hook in reversed(hooks[:-1]):
         up = out.select(F.col("v").alias("p"), "comp")
         out = hook.join(up, "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))
-    out = shared.write(out, "components")
+    out = shared.write(out, name)
     shared.drop(f"edges{k}", *(f"jump{i}" for i in range(k)))
     return out

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_map, shingle_set
+from .common import Shared, arrow_map, join_counted, shingle_set
 from .graph import components
 
 #: Retained values of a sketch.
@@ -23,7 +23,11 @@ MISS = 4e-7
 #: Sets of a list whose pairs are met by a join; longer lists are compared in blocks.
 SHORT = 16
 #: Sets of an inverted list that one task compares with as many others.
-BLOCK = 512
+BLOCK = 256
+#: Members of a longer list, one after another, that all others are compared with before blocks are.
+PIVOTS = 2
+#: Parts that the pairs of one set are dealt to.
+SALTS = 1024
 #: Cells of a dense block of sets that are multiplied at once.
 _CELLS = 4_000_000
 
@@ -75,22 +79,24 @@ def _prefixes(nodes: DataFrame, pct: int, shared: Shared) -> DataFrame:
     common comes last.
     """
     each = nodes.select("rep", F.explode("sketch").alias("v"))
-    common = shared.write(each.groupBy("v").agg(F.count("*").alias("cnt")).where("cnt > 1"), "common")
+    counts = shared.write(each.groupBy("v").agg(F.count("*").alias("cnt")), "counts")
+    total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first().n
     first = F.size("sketch") - _threshold(F.col("n"), pct) + 1
-    ranked = each.join(common.hint("merge"), "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "v"))).alias("vs"))
+    ranked = join_counted(each, counts.where("cnt > 1"), ["v"], "cnt", total).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cnt", "v"))).alias("vs"))
     ranked = ranked.join(nodes.select("rep", "n", "sketch", first.alias("first")), "rep")
     left = F.greatest(F.lit(0), F.col("first") - F.size("sketch") + F.size("vs"))
     ranked = ranked.select("rep", "n", "sketch", F.slice(F.transform("vs", lambda x: x.v), F.lit(1), left).alias("vs")).where(F.size("vs") > 0)
     out = shared.write(ranked, "prefixes")
-    shared.drop("common")
+    shared.drop("counts")
     return out
 
 
-def _lists(prefixes: DataFrame, shared: Shared) -> DataFrame:
-    """Inverted lists of two sets and more: v, cnt, rep, i (v's place in rep's prefix)."""
+def _lists(prefixes: DataFrame, shared: Shared) -> tuple[DataFrame, int]:
+    """Inverted lists of two sets and more: v, cnt, rep, i (v's place in rep's prefix). And how many entries there are."""
     heads = prefixes.select("rep", F.posexplode("vs").alias("i", "v"))
-    sizes = shared.write(heads.groupBy("v").agg(F.count("*").alias("cnt")).where("cnt > 1"), "sizes")
-    return shared.write(heads.join(sizes.hint("merge"), "v"), "lists")
+    sizes = shared.write(heads.groupBy("v").agg(F.count("*").alias("cnt")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first().n
+    return shared.write(join_counted(heads, sizes.where("cnt > 1"), ["v"], "cnt", total), "lists"), total
 
 
 def _with_sketch(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -98,17 +104,52 @@ def _with_sketch(lists: DataFrame, prefixes: DataFrame) -> DataFrame:
     return lists.join(prefixes.hint("merge"), "rep").withColumn("earlier", F.expr("slice(vs, 1, i)")).drop("vs", "i")
 
 
+def _estimated(pairs: DataFrame, pct: int) -> DataFrame:
+    """Of pairs with n and sketch of a and b: those whose sketches allow a link."""
+    t, whole = least_shared(pct), F.greatest("n_a", "n_b") <= K
+    pairs = pairs.where(f"least(n_a, n_b) * 100 >= {pct} * greatest(n_a, n_b)").withColumn("both", F.array_intersect("sketch_a", "sketch_b"))
+    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
+    pairs = pairs.where(F.when(whole, F.size("both") * (100 + pct) >= pct * (F.col("n_a") + F.col("n_b"))).otherwise(F.size("both") >= t))
+    return pairs.where(whole | (F.size(F.array_intersect(union, "both")) >= t))
+
+
 def _short_pairs(rows: DataFrame, pct: int) -> DataFrame:
     """Candidate pairs a, b of lists of up to SHORT sets: each row meets fewer than SHORT others."""
     side = lambda x: rows.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "sketch", "earlier")))
-    pairs = side("a").join(side("b"), "v").where("rep_a < rep_b").where(f"least(n_a, n_b) * 100 >= {pct} * greatest(n_a, n_b)")
-    pairs = pairs.where("not arrays_overlap(earlier_a, earlier_b)").withColumn("both", F.array_intersect("sketch_a", "sketch_b"))
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
-    whole = F.greatest("n_a", "n_b") <= K
-    t = least_shared(pct)
-    pairs = pairs.where(F.when(whole, F.size("both") * (100 + pct) >= pct * (F.col("n_a") + F.col("n_b"))).otherwise(F.size("both") >= t))
-    pairs = pairs.where(whole | (F.size(F.array_intersect(union, "both")) >= t))
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = side("a").join(side("b"), "v").where("rep_a < rep_b").where("not arrays_overlap(earlier_a, earlier_b)")
+    return _estimated(pairs, pct).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _pivot_pairs(rows: DataFrame, pct: int, turn: int, total: int) -> DataFrame:
+    """Candidate pairs a, b of each list's pivot, its first member by a hash, with its members of other classes.
+
+    rows: v, cnt, rep, n, sketch, comp. Lists of like members have the same pivot, so a pair is met once.
+    """
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "sketch", "comp"))
+    pivots = rows.groupBy("v").agg(first.alias("p"), F.count("*").alias("members"))
+    pivots = pivots.select("v", "members", *(F.col(f"p.{c}").alias(f"{c}_a") for c in ("rep", "n", "sketch", "comp")))
+    mine = rows.select("v", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "sketch", "comp")))
+    pairs = join_counted(mine, pivots, ["v"], "members", total).where("comp_a <> comp_b")
+    return _estimated(pairs, pct).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, pct: int, size: int, shared: Shared, name: str) -> DataFrame:
+    """Those of the pairs a, b whose whole sets link. A set in many pairs is dealt out with some of them each."""
+    pairs = shared.write(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("s")), f"pairs{name}")
+    texts = _texts(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), nodes, docs, shared, name)
+    left = pairs.select("a", "s").distinct().join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.join(left, ["a", "s"]).join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    out = shared.write(arrow_map(both.select("a", "b", "text_a", "text_b"), _linked(pct, size), "a long, b long"), f"links{name}")
+    shared.drop(f"pairs{name}", f"texts{name}")
+    return out
+
+
+def _texts(reps: DataFrame, nodes: DataFrame, docs: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """rep, t, text of these sets, one row for each."""
+    wanted = shared.write(nodes.join(reps.hint("merge"), "rep", "left_semi").select("rep", "t"), "wanted")
+    out = shared.write(docs.join(wanted.hint("merge"), ["rep", "t"], "left_semi").select("rep", "t", "text").dropDuplicates(["rep", "t"]), f"texts{name}")
+    shared.drop("wanted")
+    return out
 
 
 def _linked(pct: int, size: int):
@@ -127,12 +168,22 @@ def _linked(pct: int, size: int):
     return run
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Deals a list's rows to pairs of blocks (p, q), p <= q; side 0, 1 or 2 (both)."""
-    n = F.ceil(F.col("cnt") / F.lit(float(BLOCK))).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return dealt.withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)).drop("mine", "other")
+def _blocks(rows: DataFrame, total: int) -> DataFrame:
+    """Deals a list's rows to pairs of blocks (p, q), p <= q; side 0, 1 or 2 (both).
+
+    rows: v, cnt, rep, comp and more. Members of the list's largest class (known so far) are in blocks of their own,
+    which meet the other blocks but not each other, so the work grows with the members outside of it times all.
+    Lists of a single class are done.
+    """
+    sizes = rows.groupBy("v", "comp").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("members"))
+    sizes = sizes.where("members > x.m").select("v", "members", F.col("x.comp").alias("big"), F.ceil((F.col("members") - F.col("x.m")) / F.lit(float(BLOCK))).cast("int").alias("others"), F.ceil(F.col("x.m") / F.lit(float(BLOCK))).cast("int").alias("bigs"))
+    dealt = join_counted(rows, sizes, ["v"], "members", total)
+    of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n).cast("long")).cast("int")
+    inside = F.col("comp") == F.col("big")
+    dealt = dealt.withColumn("mine", F.when(inside, F.col("others") + of("bigs")).otherwise(of("others")))
+    dealt = dealt.withColumn("other", F.explode(F.when(inside, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("bigs") - 1))))
+    dealt = dealt.withColumn("p", F.least("mine", "other")).withColumn("q", F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1))
+    return dealt.drop("mine", "other", "big", "others", "bigs", "members")
 
 
 def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +222,7 @@ def _candidates(pct: int):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         a, b = _pairs(f.side.to_numpy())
         if not len(a) or not len(b):
-            return f.iloc[:0][["v", "p", "q", "side", "rep", "earlier"]]
+            return f.iloc[:0][["v", "p", "q", "side", "rep", "comp", "earlier"]]
         n = f.n.to_numpy(np.float64)
         sk = [np.asarray(x, np.int64) for x in f.sketch]
         ok = np.minimum(n[a][:, None], n[b][None, :]) * 100 >= pct * np.maximum(n[a][:, None], n[b][None, :])
@@ -180,8 +231,8 @@ def _candidates(pct: int):
         need = np.where(np.maximum(n[a][:, None], n[b][None, :]) <= K, pct / (100.0 + pct) * (n[a][:, None] + n[b][None, :]) - 1e-6, float(t))
         ok &= both >= need
         ok &= _first_here(f.earlier, a, b)
-        ids = f.rep.to_numpy()
-        ok &= ids[a][:, None] < ids[b][None, :] if a is b else ids[a][:, None] != ids[b][None, :]
+        comp = f.comp.to_numpy()
+        ok &= comp[a][:, None] != comp[b][None, :]
         for i, j in zip(*np.nonzero(ok & (both < need.max() + K)), strict=True):
             x, y = sk[a[i]], sk[b[j]]
             if max(n[a[i]], n[b[j]]) > K:
@@ -191,7 +242,7 @@ def _candidates(pct: int):
         live = np.zeros(len(f), bool)
         live[a[ok.any(axis=1)]] = True
         live[b[ok.any(axis=0)]] = True
-        return f[live][["v", "p", "q", "side", "rep", "earlier"]]
+        return f[live][["v", "p", "q", "side", "rep", "comp", "earlier"]]
 
     return run
 
@@ -205,7 +256,6 @@ def _verified(pct: int, size: int):
     """Exact links of each block pair, as edges of a spanning forest of the block's links."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["rep", "t"])
         a, b = _pairs(f.side.to_numpy())
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -213,7 +263,8 @@ def _verified(pct: int, size: int):
         n = np.array([len(s) for s in sets], np.float64)
         inter = _overlaps(sets, a, b).astype(np.float64)
         ok = 100 * inter >= pct * (n[a][:, None] + n[b][None, :] - inter)
-        ids = f.rep.to_numpy()
+        ids, comp = f.rep.to_numpy(), f.comp.to_numpy()
+        ok &= comp[a][:, None] != comp[b][None, :]
         root = list(range(len(f)))
 
         def find(x: int) -> int:
@@ -243,10 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Method: equal sets are one node from the start. Each node keeps the K least hashes of its set. Inverted lists of
     retained values, rarest first, meet candidates; their overlap, then the estimate from the K least values of the
-    union, filter; the Jaccard index of the whole sets decides. Lists are compared in blocks of BLOCK x BLOCK with
-    matrix products, a pair in the first list it shares only, and blocks emit spanning forests, never all pairs.
+    union, filter; the Jaccard index of the whole sets decides. Pairs of lists of up to SHORT sets are joined. In a
+    longer list PIVOTS members in turn are compared with all others, so a group of near copies takes about as many
+    comparisons as it has members; what is not yet of one class is compared in blocks of BLOCK x BLOCK with matrix
+    products, a pair in the first list it shares only, and blocks emit spanning forests, never all pairs.
 
-    What is joined grows with the documents, so it is merged at every size and never broadcast.
+    What is joined grows with the documents, so it is merged at every size; only values that more than 1 / 4096 of all
+    entries have, so fewer than 4096, are broadcast.
 
     Null and empty texts and those of white space alone have an empty set: n_shingles 0, component_id the own id.
     A row with a null id links with nothing and is not kept. Rows with one id are one vertex. Extra columns are left out.
@@ -259,26 +313,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.min(F.struct("id", "t"))
     nodes = full.groupBy("k1", "k2").agg(least.alias("m"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = shared.write(nodes.select("k1", "k2", F.col("m.id").alias("rep"), F.col("m.t").alias("t"), "n", "sketch"), "nodes")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     prefixes = _prefixes(nodes, percent, shared)
-    lists = _lists(prefixes, shared)
-    pairs = shared.write(_short_pairs(_with_sketch(lists.where(f"cnt <= {SHORT}"), prefixes), percent), "pairs")
-    kinds = "v long, p int, q int, side int, rep long, earlier array<long>"
-    long = _with_sketch(_blocks(lists.where(f"cnt > {SHORT}")), prefixes)
-    live = shared.write(long.groupBy("v", "p", "q").applyInPandas(_candidates(percent), kinds), "candidates")
+    lists, total = _lists(prefixes, shared)
+    short = shared.write(_short_pairs(_with_sketch(lists.where(f"cnt <= {SHORT}"), prefixes), percent), "short")
+    long = shared.write(_with_sketch(lists.where(f"cnt > {SHORT}"), prefixes), "long")
     shared.drop("sizes", "lists", "prefixes")
-
-    wanted = live.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = shared.write(nodes.join(wanted, "rep", "left_semi").select("rep", "t"), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    texts = shared.write(texts.join(wanted.hint("merge"), ["rep", "t"], "left_semi"), "texts")
-    text = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
-    links = arrow_map(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b"), _linked(percent, size), "a long, b long")
-    links = links.union(live.join(texts, "rep").groupBy("v", "p", "q").applyInPandas(_verified(percent, size), "a long, b long"))
+    links = None
+    rows = long.withColumn("comp", F.col("rep"))
+    for turn in range(PIVOTS):
+        pairs = _pivot_pairs(rows, percent, turn, total)
+        new = _links(pairs.union(short) if not turn else pairs, nodes, texts, percent, size, shared, f"{turn}")
+        links = new if links is None else links.union(new)
+        comp = components(links, shared, f"classes{turn}")
+        rows = long.join(comp.select(F.col("v").alias("rep"), "comp").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    kinds = "v long, p int, q int, side int, rep long, comp long, earlier array<long>"
+    live = shared.write(_blocks(rows, total).groupBy("v", "p", "q").applyInPandas(_candidates(percent), kinds), "candidates")
+    rest = live.join(_texts(live.select("rep").distinct(), nodes, texts, shared, "rest"), "rep")
+    links = shared.write(links.union(rest.groupBy("v", "p", "q").applyInPandas(_verified(percent, size), "a long, b long")), "links")
+    shared.drop("candidates", "short", "long", "textsrest", *(f"{x}{k}" for k in range(PIVOTS) for x in ("links", "classes")))
     # Sets with one id are one vertex.
     twice = full.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("id")
     twice = full.join(twice, "id", "left_semi").select("id", "k1", "k2").join(nodes.select("k1", "k2", "rep"), ["k1", "k2"])
     comp = components(links.union(twice.select("rep", "id")), shared)
-    shared.drop("candidates", "pairs", "wanted", "texts")
+    shared.drop("links")
     named = nodes.join(comp.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     named = shared.write(named, "classes")
     shared.drop("nodes", "components")

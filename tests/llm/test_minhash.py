@@ -53,11 +53,12 @@ def corpus(seed):
     return [*enumerate(rows), (None, rows[0]), (None, rows[1]), (0, rows[0])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed, monkeypatch):
-    if seed == 2:  # long lists, several blocks
+@pytest.mark.parametrize(("seed", "pivots"), [(1, 2), (2, 2), (3, 1)])
+def test_against_brute_force(spark, seed, pivots, monkeypatch):
+    if seed > 1:  # long lists, several blocks, before and after pivots
         monkeypatch.setattr(minhash, "SHORT", 2)
         monkeypatch.setattr(minhash, "BLOCK", 8)
+        monkeypatch.setattr(minhash, "PIVOTS", pivots)
     rows = corpus(seed)
     assert run(spark, rows) == brute(rows)
 
