@@ -23,7 +23,7 @@ MISS = 4e-7
 #: Sets of a list whose pairs are met by a join; longer lists are compared in blocks.
 SHORT = 16
 #: Sets of an inverted list that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 #: Members of a longer list, one after another, that all others are compared with before blocks are.
 PIVOTS = 2
 #: Parts that the pairs of one set are dealt to.
