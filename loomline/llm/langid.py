@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_map, hash_sample, mixed
+from .common import Shared, arrow_map, hash_sample, join_counted, mixed
 
 #: Labelled texts, by a hash of their ids, that the trigram model is learned from at most.
 SAMPLE = 6_000
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _sums(rows: DataFrame, key: str, langs: int, shared: Shared) -> DataFrame:
     out = rows.groupBy(key).agg(*(F.sum(f"q{k}").alias(f"{key}{k}") for k in range(langs)), F.count("*").alias(f"{key}_n"))
-    return shared.write(out, f"by_{key}").hint("merge")
+    return shared.write(out, f"by_{key}")
 
 
 def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", host: Column | None = None) -> DataFrame:
@@ -125,7 +125,8 @@ def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
     The posterior multiplies the text's likelihood (hashed byte trigrams), what the declared language and the
     address suffix say, each as P(language | it) / P(language), and the prior of the host. All these tables are grouped
     sums of the text's own posteriors over all pages, without the page itself. A host's prior is smoothed by its
-    domain's, that by the mean of all pages, each worth PRIOR pages.
+    domain's, that by the mean of all pages, each worth PRIOR pages. The tables join by common.join_counted, so a
+    language, suffix or host of many pages fills no task.
 
     Null and empty pages have no text, so the rest decides; a null URL has an empty host, whose pages share a prior.
     Ties go to the first language by name; without labelled texts lang is null. Repeated rows and ids, also null
@@ -155,11 +156,11 @@ def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
     rows = arrow_map(src, run, f"id {kind}, host string, declared string, {numbers}")
     labels = F.split("host", r"\.")
     rows = rows.withColumn("domain", F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")))
-    rows = shared.write(rows.withColumn("suffix", F.element_at(labels, -1)), "pages")
+    rows = pages_read = shared.write(rows.withColumn("suffix", F.element_at(labels, -1)), "pages")
     total = rows.agg(*(F.coalesce(F.sum(f"q{k}"), F.lit(0.0)).alias(f"t{k}") for k in range(n)), F.count("*").alias("n")).first()
     mean = [(total[f"t{k}"] + 1 / n) / (total.n + 1) for k in range(n)]
     for key in ("declared", "suffix", "domain", "host"):
-        rows = rows.join(_sums(rows, key, n, shared), key)
+        rows = shared.write(join_counted(rows, _sums(pages_read, key, n, shared), [key], f"{key}_n", total.n), f"with_{key}")
     share = lambda key, k, prior: (F.col(f"{key}{k}") - F.col(f"q{k}") + PRIOR * prior) / (F.col(f"{key}_n") - 1 + PRIOR)
     logs = []
     for k in range(n):

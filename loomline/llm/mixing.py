@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Shared
+from .common import Shared, join_counted
 
 #: Pattern of a token: a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -59,17 +59,20 @@ def budgets(supply: DataFrame, weights: DataFrame, target: Column | int, epochs:
 
 
 def mix(docs: DataFrame, weights: DataFrame, share: float, epochs: int = 2, seed: str = "1", id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None, language: Column | None = None, source: Column | None = None, shared: Shared | None = None) -> DataFrame:
-    """docs with columns m_domain, m_language, m_source, m_tokens, m_copies: how often a row is taken, 0 for never.
+    """Every row of docs as `doc` (a struct of its own columns, whatever their names), with domain, language, source,
+    tokens, copies: how often the row is taken, 0 for never.
 
     The target is `share` of all tokens (words), rounded down; budgets() spreads it over the tree. A leaf whose budget
     is e times its tokens and a rest takes every row e times, and for the rest the rows of epoch e in seeded order, the
     MD5 of seed, epoch and id, up to the last whose tokens still fit with those before it. Rows with one id in a leaf
     are tied and taken together.
 
-    The order's cut is found by sums over 4096 prefixes of the hash, then 4096 longer ones within the prefix that the
-    cut falls in, then rows; a leaf with a third of all rows is summed by prefix on every task before any shuffle.
+    The order's cut is found by sums over 256 prefixes of the hash, then twice 256 longer ones within the prefix that
+    the cut falls in, then rows; a leaf with a third of all rows is summed by prefix on every task before any shuffle.
+    The table of leaves joins by common.join_counted: leaves of many rows, of which there is a bounded number, are
+    broadcast, so texts of these are not shuffled and no task gets a whole leaf.
     Null domains, languages and sources are nodes of their own (an empty name). Null and empty texts have 0 tokens and
-    come with the prefix that they fall in. Extra columns stay, but for those whose names start with m_.
+    come with the prefix that they fall in. Repeated rows stay; an empty table gives an empty result.
     """
     shared = shared or Shared(docs.sparkSession)
     of = lambda c, name: F.coalesce((F.col(name) if c is None else c).cast("string"), F.lit(""))
@@ -77,41 +80,45 @@ def mix(docs: DataFrame, weights: DataFrame, share: float, epochs: int = 2, seed
     path = ["domain", "language", "source"]
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     narrow = shared.write(docs.select(*leaf, text_id.alias("id"), tokens.alias("tokens")), "narrow")
-    supply = shared.write(narrow.groupBy(*path).agg(F.sum("tokens").alias("tokens")), "supply")
-    target = F.floor(F.lit(str(share)).cast("decimal(10,6)") * supply.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t)
-    plan = budgets(supply, weights, target, epochs, shared)
+    supply = shared.write(narrow.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "supply")
+    sums = supply.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    target = F.floor(F.lit(str(share)).cast("decimal(10,6)") * sums.t)
+    plan = budgets(supply.drop("n"), weights, target, epochs, shared).join(supply.select(*path, "n"), path)
     e = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
-    plan = shared.write(plan.select(*path, e.cast("int").alias("epoch"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest")), "plan")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.col("id")).cast("binary"))
-    keyed = shared.write(narrow.join(plan.hint("merge"), path).select(*path, "rest", key.alias("key"), "tokens"), "keyed")
+    plan = shared.write(plan.select(*path, "n", e.cast("int").alias("epoch"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest")), "plan")
+    key = lambda i: F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), i).cast("binary"))
+    keyed = shared.write(join_counted(narrow, plan, path, "n", sums.n).select(*path, "n", "rest", key(F.col("id")).alias("key"), "tokens"), "keyed")
 
     group = W.partitionBy(*path)
 
     def cut(rows: DataFrame, part: Column) -> DataFrame:
         """The first part of the order whose end is over the rest, with what is before it."""
-        sums = rows.groupBy(*path, part.alias("part")).agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"))
-        sums = sums.withColumn("upto", F.sum("t").over(group.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)))
-        over = sums.where("upto > rest").groupBy(*path).agg(F.min(F.struct("part", "upto", "t", "rest")).alias("x"))
-        return over.select(*path, F.col("x.part").alias("part"), (F.col("x.rest") - F.col("x.upto") + F.col("x.t")).alias("left"))
-
-    at1 = shared.write(cut(keyed, F.substring("key", 1, 3)), "cut1")
-    in1 = keyed.join(at1.hint("merge"), path).where("substring(key, 1, 3) = part").select(*path, "key", "tokens", F.col("left").alias("rest"))
-    at2 = shared.write(cut(in1, F.substring("key", 1, 6)), "cut2")
-    in2 = keyed.join(at2.hint("merge"), path).where("substring(key, 1, 6) = part").select(*path, "key", "tokens", F.col("left").alias("rest"), "part")
+        parts = rows.groupBy(*path, part.alias("part")).agg(F.sum("tokens").alias("t"), F.max("rest").alias("rest"), F.max("n").alias("n"))
+        parts = parts.withColumn("upto", F.sum("t").over(group.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        over = parts.where("upto > rest").groupBy(*path).agg(F.min(F.struct("part", "upto", "t", "rest", "n")).alias("x"))
+        return over.select(*path, F.col("x.part").alias("part"), (F.col("x.rest") - F.col("x.upto") + F.col("x.t")).alias("left"), F.col("x.n").alias("n"))
+
+    # Each step looks at 256 longer prefixes within the one that the cut falls in.
+    short, at = keyed.select(*path, "key", "tokens"), None
+    for digits in (2, 4, 6):
+        if at is None:
+            rows = keyed
+        else:
+            rows = join_counted(short, at, path, "n", sums.n).where(f"substring(key, 1, {digits - 2}) = part").select(*path, "n", "key", "tokens", F.col("left").alias("rest"))
+        at = shared.write(cut(rows, F.substring("key", 1, digits)), f"cut{digits}")
+    in2 = join_counted(short, at, path, "n", sums.n).where("substring(key, 1, 6) = part").select(*path, "key", "tokens", F.col("left").alias("rest"), "part")
     upto = F.sum("tokens").over(W.partitionBy(*path, "part").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
     last = in2.withColumn("upto", upto).where("upto <= rest").groupBy(*path).agg(F.max("key").alias("last"))
-    ends = plan.join(at2, path, "left").join(last, path, "left").select(*path, "epoch", F.coalesce("last", "part", F.lit("~")).alias("end"))
+    ends = plan.join(at.drop("n"), path, "left").join(last, path, "left").select(*path, "n", "epoch", F.coalesce("last", "part", F.lit("~")).alias("end"))
     ends = shared.write(ends, "ends")
 
-    named = docs.select(*[c for c in docs.columns if not c.startswith("m_")], *(c.alias(f"m_{n}") for c, n in zip(leaf, path, strict=True)), tokens.alias("m_tokens"), text_id.alias("m_id"))
-    ends = ends.select(*(F.col(n).alias(f"m_{n}") for n in path), F.col("epoch").alias("m_epoch"), F.col("end").alias("m_end"))
-    out = named.join(ends.hint("merge"), [f"m_{n}" for n in path])
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("m_epoch").cast("string"), F.col("m_id")).cast("binary"))
-    copies = (F.col("m_epoch") + F.when(key <= F.col("m_end"), 1).otherwise(0)).cast("int")
-    return out.withColumn("m_copies", copies).select(*[c for c in docs.columns if not c.startswith("m_")], *(f"m_{n}" for n in path), "m_tokens", "m_copies")
+    named = docs.select(doc, *leaf, tokens.alias("tokens"), text_id.alias("id"))
+    copies = (F.col("epoch") + F.when(key(F.col("id")) <= F.col("end"), 1).otherwise(0)).cast("int")
+    return join_counted(named, ends, path, "n", sums.n).select("doc", *path, "tokens", copies.alias("copies"))
 
 
-def taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of mix(), each as often as it is taken, with the given columns."""
-    return mixed.where("m_copies > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*columns)
+def taken(mixed: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it."""
+    return mixed.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -56,7 +56,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed_documents(spark, load(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("m_domain").alias("domain"), F.col("m_language").alias("language"), F.col("m_source").alias("source"), F.col("m_tokens").alias("tokens"), F.col("m_copies").alias("copies"))
+    return out.select("doc.doc_id", "domain", "language", "source", "tokens", "copies")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

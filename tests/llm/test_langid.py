@@ -4,8 +4,9 @@ import re
 import time
 
 import numpy as np
+import pytest
 
-from loomline.llm import langid
+from loomline.llm import common, langid
 
 
 def words(lang, rnd, n):
@@ -41,7 +42,9 @@ def brute(rows, model):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [0.05, 1.0])
+def test_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
     rnd = random.Random(1)
     docs = spark.createDataFrame([(i, words(x, rnd, 40), x) for i, x in enumerate(["aa", "bb", "cc"] * 20)] + [(None, "x", "aa"), (99, None, "bb"), (100, "y", None)], "doc_id long, text string, lang string")
     model = langid.learn(docs)

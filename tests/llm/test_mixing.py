@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import mixing
+from loomline.llm import common, mixing
 
 WEIGHTS = [("a", None, None, 5), ("b", None, None, 3), ("a", "en", None, 4), ("a", "en", "s1", 7), ("", None, None, 2)]
 
@@ -42,16 +43,24 @@ def brute(rows, share, epochs):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [0.02, 1.0])
+def test_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)  # leaves broadcast and merged, and merged alone
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a", "a", "b", None]), rnd.choice(["en", "de"]), rnd.choice(["s1", "s2", "s3"]), " ".join("w" for _ in range(rnd.choice([0, 1, 5, 40])))) for i in range(300)]
     rows += [(7, *rows[7][1:]), (None, "b", "en", "s9", "x y"), (500, "b", "fr", "s1", None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, domain string, lang string, source string, text string, part int")
     weights = spark.createDataFrame(WEIGHTS, "domain string, language string, source string, w int")
     for share, epochs in ((0.6, 1), (1.5, 2), (9.0, 2)):
-        got = sorted((str(r.doc_id), r.m_copies) for r in mixing.mix(df, weights, share, epochs).collect())
+        got = sorted((str(r.doc_id), r.copies) for r in mixing.mix(df, weights, share, epochs).select("doc.doc_id", "copies").collect())
         assert got == brute(rows, share, epochs)
     out = mixing.mix(df, weights, 1.5, 2)
-    assert out.columns[:6] == df.columns
-    assert mixing.taken(out, df.columns).count() == out.agg(F.sum("m_copies")).first()[0]
+    assert mixing.taken(out).columns == df.columns
+    assert mixing.taken(out).count() == out.agg(F.sum("copies")).first()[0]
+    # Columns that share names with the operator's own.
+    odd = ["m_note", "copies", "tokens", "doc", "language", "a.b", "n", "rest", "key", "m_copies"]
+    clash = df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    got = mixing.taken(mixing.mix(clash, weights, 0.6, 1))
+    assert got.columns == clash.columns and got.where("m_note <> 0 or copies <> 1 or key <> 8").count() == 0
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(i for i, n in brute(rows, 0.6, 1) for _ in range(n))
     assert mixing.mix(df.limit(0), weights, 0.5).count() == 0

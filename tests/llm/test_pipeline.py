@@ -46,7 +46,7 @@ def test_stages(spark, sf):
     assert safe.columns == columns and safe.count() == once.count()
     assert all(not secrets.base_spans(r.text or "") for r in safe.collect())
     mixed = p.mix_sources(spark, safe, sf)
-    copies = {r.doc_id: r.m_copies for r in queries.mixed_documents(spark, safe).collect()}
+    copies = {r.doc_id: r.copies for r in queries.mixed_documents(spark, safe).select("doc.doc_id", "copies").collect()}
     assert mixed.columns == columns and Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
     tk = Tokenizer.from_file(queries.tokenizer_path())
     got = sorted((str(r.doc_id), r.n_tokens) for r in p.encode_texts(spark, mixed, sf).collect())
