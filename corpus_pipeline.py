@@ -35,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the budgets of its domain, language and source take it."""
-    return mixing.taken(queries.mixed_documents(spark, docs), docs.columns)
+    return mixing.taken(queries.mixed_documents(spark, docs))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
