@@ -67,13 +67,13 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 REJECT = 0.5
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chain = toxicity.train(docs, load(spark, sf_dir, "labels"), toxicity.word_categories(F.col("_text")))
-    return toxicity.score(docs, chain)
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    return toxicity.train(docs, load(spark, sf_dir, "labels"), toxicity.label_categories())
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity_scores(spark, load(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
     p = [c for c in out.columns if c.startswith("tox_")]
     return out.select("doc_id", *p, (F.col("tox_toxic") >= REJECT).alias("rejected"))
 

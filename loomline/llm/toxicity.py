@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, hash_sample, shingle_set
+from .common import Shared, arrow_map, hash_sample, shingle_set
 
 #: Labelled rows that the chain is fitted on at most, in the order of a hash: of those with the last label, and of those without.
 POSITIVE, NEGATIVE = 3_000, 6_000
-#: Words and beginnings of words (by hash) that the classifiers look at, chosen by how they part the labels.
+#: Words and beginnings of words (by hash) that the classifiers look at, chosen by how they part the labels. A size of
+#: the model, not of its input: all words of all labelled rows are counted before these are chosen.
 FEATURES = 384
 #: One is looked at if this share of a category's labelled rows holds it, at least five rows, and so many times the
 #: share of the other rows; this keeps words of a few documents, of a topic or of a language out.
 LEAST_SHARE, LEAST_LIFT = 0.005, 5.0
 FOLDS, RIDGE, SEED = 5, 0.5, 1
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_WORD = re.compile(rb"[a-z\x80-\xff]+|[!-/:-@\[-`{-~]{3,}")
 
 
 @dataclass
@@ -60,7 +61,7 @@ def words_in(text: str | None) -> set[bytes]:
 
 
 def word_set(text: str | None) -> np.ndarray:
-    """Sorted distinct features of a text's words: runs of a-z (A-Z lower-cased) and of what isn't ASCII."""
+    """Sorted distinct features of a text's words: runs of a-z (A-Z lower-cased) and of what isn't ASCII; runs of three signs or more are words too."""
     return np.array(sorted({h for w in words_in(text) for h in _features[w]}), np.int32)
 
 
@@ -94,29 +95,10 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], features: int = FEATURES) -> Chain:
-    """labels: one column for each category; sets is emptied on the way. Later models learn from out-of-fold probabilities of the earlier ones."""
-    n = len(sets)
-    vals, df = np.unique(np.concatenate(sets) if n else np.empty(0, np.int32), return_counts=True)
-    often = df >= 5
-    vals, df = vals[often], df[often]
-    score = np.zeros(len(vals))
-    for k in range(labels.shape[1] if n else 0):
-        total = labels[:, k].sum()
-        own, times = np.unique(np.concatenate([np.empty(0, np.int32), *(sets[i] for i in np.flatnonzero(labels[:, k]))]), return_counts=True)
-        pos = np.zeros(len(vals))
-        at = np.minimum(np.searchsorted(vals, own), max(0, len(vals) - 1))
-        hit = vals[at] == own if len(vals) else np.zeros(len(own), bool)
-        pos[at[hit]] = times[hit]
-        expect = df * (total / n)
-        z = (pos - expect) / np.sqrt(np.maximum(expect, 1.0))
-        rest = (df - pos + 0.5) / (n - total + 1)
-        ok = (pos >= max(5, LEAST_SHARE * total)) & (pos / max(total, 1) >= LEAST_LIFT * rest)
-        score = np.maximum(score, np.where(ok, z, 0))
-    ok = np.flatnonzero(score)
-    words = np.sort(vals[ok[np.argsort(-score[ok], kind="stable")[:features]]])
-    x = np.stack([np.isin(words, s, assume_unique=True) for s in sets]).astype(np.float32) if n else np.zeros((0, len(words)), np.float32)
-    sets.clear()
+def fit_chain(x: np.ndarray, labels: np.ndarray, names: list[str], words: np.ndarray) -> Chain:
+    """x: a row of 0 and 1 for each text, a column for each of words; labels: a column for each category. Later models
+    learn from out-of-fold probabilities of the earlier ones."""
+    n = len(x)
     fold = np.random.default_rng(SEED).permutation(n) % FOLDS
     weights, earlier = [], np.zeros((n, 0), np.float32)
     for k in range(labels.shape[1]):
@@ -130,6 +112,25 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: list[str], feat
     return Chain(names, words, weights)
 
 
+def telling(rows: DataFrame, categories: int, features: int) -> np.ndarray:
+    """The features (sorted) that part a category's rows from the others best, from rows words array<int>, y array<int>.
+
+    A feature's score is the greatest over the categories of (seen - expected) / sqrt(expected), where it has
+    LEAST_SHARE and LEAST_LIFT; ties go to the least hash.
+    """
+    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"t{k}") for k in range(categories))).first()
+    each = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), *(F.sum(F.col("y")[k]).alias(f"p{k}") for k in range(categories)))
+    score = F.lit(0.0)
+    for k in range(categories):
+        total, pos = sums[f"t{k}"], F.col(f"p{k}")
+        expect = F.col("df") * (total / max(sums.n, 1))
+        rest = (F.col("df") - pos + 0.5) / (sums.n - total + 1)
+        ok = (pos >= max(5, LEAST_SHARE * total)) & (pos / max(total, 1) >= LEAST_LIFT * rest)
+        score = F.greatest(score, F.when(ok, (pos - expect) / F.sqrt(F.greatest(expect, F.lit(1.0)))).otherwise(0.0))
+    best = each.where("df >= 5").select("word", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "word").limit(features)
+    return np.sort(np.array([r.word for r in best.collect()], np.int32))
+
+
 def predict(chain: Chain, texts: list[str | None], cache: dict | None = None) -> np.ndarray:
     """One row of probabilities for each text; cache: word -> places of its features that count."""
     if cache is None:
@@ -150,37 +151,46 @@ def _places(chain: Chain) -> _Cache:
     return _Cache(lambda w: tuple(at[h] for h in features_of(w) if h in at))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], id_col: str = "doc_id", text_col: str = "text", positive: int = POSITIVE, negative: int = NEGATIVE) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], id_col: str = "doc_id", text_col: str = "text", positive: int = POSITIVE, negative: int = NEGATIVE, features: int = FEATURES) -> Chain:
     """Fits the chain on the labelled rows of docs.
 
-    categories: names and boolean columns over the columns of labels and docs, in the chain's order; the last is what
-    the sample is balanced by. The sample, at most `positive` and `negative` rows by a hash of the id, is the one
-    thing that is bounded; it is chosen among the labels alone, so docs are read once and not shuffled.
+    categories: names and boolean columns over labels, in the chain's order; the last is what the sample is balanced
+    by, null counts as false. The sample, at most `positive` and `negative` ids by a hash, is the one thing that is
+    bounded; it is chosen among the labels alone, so docs are read once and not shuffled. All its words are counted
+    as tables; the driver gets the `features` chosen and, for each row, which of them it has.
+
+    A label without an id or a document, and a document without a label, don't take part. Of an id's labels each
+    category's greatest counts, of its texts the least. Texts with equal sets of shingles and equal labels count once,
+    null and empty ones being equal. Any other columns, whatever their names, are left out. Without labelled rows the
+    chain has no features and gives each category the same low probability.
     """
-    last = labels.select(id_col, *[c for c in labels.columns if c != id_col]).where(F.col(id_col).isNotNull())
-    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    some = hash_sample(last.where(toxic), F.col(id_col), positive).unionByName(hash_sample(last.where(~toxic), F.col(id_col), negative))
-    some = some.dropDuplicates([id_col])
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(F.col(id_col).isNotNull()).join(F.broadcast(some), id_col)
+    shared, names = Shared(docs.sparkSession), [n for n, _ in categories]
     y = F.array(*(F.coalesce(c, F.lit(False)).cast("int") for _, c in categories))
-    rows = rows.select(F.col("_text").alias("text"), y.alias("y"))
+    known = labels.select(F.col(id_col).alias("k"), y.alias("y")).where("k is not null")
+    known = known.groupBy("k").agg(F.array(*(F.max(F.col("y")[i]) for i in range(len(names)))).alias("y"))
+    last = F.col("y")[len(names) - 1] == 1
+    some = hash_sample(known.where(last), F.col("k"), positive).unionByName(hash_sample(known.where(~last), F.col("k"), negative))
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("k is not null").join(F.broadcast(some), "k")
+    rows = rows.groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(0).to_pylist()
-        sets, like = [word_set(t) for t in texts], [int(s[0]) if len(s := shingle_set(t)) else 0 for t in texts]
+        sets, keys = [word_set(t) for t in texts], [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts]
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets) if sets else [], pa.int32())), b.column(1), pa.array(like, pa.int64())], names=["words", "y", "like"])
-
-    got = arrow_map(rows, run, "words array<int>, y array<int>, like long").toArrow()
-    names = [n for n, _ in categories]
-    sets = [x.values.to_numpy(zero_copy_only=False) for x in got.column("words")]
-    y, like = got.column("y").to_pylist(), got.column("like").to_pylist()
-    del got
-    # Texts with the same least shingle are copies or near copies, of which one counts; the order of rows doesn't.
-    by = sorted(range(len(sets)), key=lambda i: (like[i], len(sets[i]), tuple(sets[i]), y[i]))
-    by = [i for k, i in enumerate(by) if not k or like[i] != like[by[k - 1]]]
-    sets = [sets[i] for i in by]
-    return fit_chain(sets, np.array([y[i] for i in by], np.int64).reshape(-1, len(names)), names)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets) if sets else [], pa.int32())), b.column(1), pa.array(keys, pa.binary())], names=["words", "y", "key"])
+
+    found = shared.write(arrow_map(rows, run, "words array<int>, y array<int>, key binary"), "labelled")
+    words = telling(found.dropDuplicates(["key", "y"]), len(names), features)
+    has = F.array_intersect("words", F.array(*map(F.lit, words.tolist())) if len(words) else F.array().cast("array<int>"))
+    got = found.select(has.alias("has"), "y", "key").distinct().toArrow()
+    shared.drop("labelled")
+    by = sorted(zip(got.column("key").to_pylist(), got.column("y").to_pylist(), (sorted(h) for h in got.column("has").to_pylist()), strict=True))
+    # Equal shingles may part words differently: one row of a key and its labels counts.
+    by = [r for i, r in enumerate(by) if not i or r[:2] != by[i - 1][:2]]
+    x = np.zeros((len(by), len(words)), np.float32)
+    for i, (_, _, h) in enumerate(by):
+        x[i, np.searchsorted(words, h)] = 1
+    return fit_chain(x, np.array([r[1] for r in by], np.int64).reshape(-1, len(names)), names, words)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -203,13 +213,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return arrow_map(src, run, T.StructType([*src.schema.fields, *(T.StructField(n, T.DoubleType()) for n in new)]))
 
 
-#: Words whose presence in a labelled row tells its category; the labels have no finer categories. Fixed values.
-INSULTS = ("idiot", "moron", "clown", "loser", "scum")
-CONTEMPT = ("trash", "pathetic", "worthless", "disgusting", "stupid")
-
-
-def word_categories(text: Column) -> list[tuple[str, Column]]:
-    """insult and contempt (a toxic row with a word of theirs), then toxic itself."""
-    toxic = F.col("toxic") == 1
-    has = lambda ws: text.rlike(r"(?i)(?<![a-z])(" + "|".join(ws) + r")(?![a-z])")
-    return [("insult", toxic & has(INSULTS)), ("contempt", toxic & has(CONTEMPT)), ("toxic", toxic)]
+def label_categories(quality: str = "quality", toxic: str = "toxic") -> list[tuple[str, Column]]:
+    """What the labels tell: low quality, toxic text of low quality, then toxic text."""
+    low, bad = F.col(quality) == 0, F.col(toxic) == 1
+    return [("low_quality", low), ("low_and_toxic", low & bad), ("toxic", bad)]
