@@ -17,8 +17,8 @@ from .common import Shared, arrow_map
 
 #: Samples a second, samples of a frame and from one frame to the next, widest filter in frames.
 RATE, FRAME, HOP, WIDTH = 5512, 2048, 682, 16
-#: Equal codes at one offset by which copies with few errors can be told; most share of unlike bits of a match; least share of the shorter one that overlaps.
-VOTES, ERRORS, OVERLAP = 3, 0.2, 0.5
+#: Most share of unlike bits of a match; least share of the shorter one that overlaps.
+ERRORS, OVERLAP = 0.2, 0.5
 #: Entries, and queries, that one task compares with each other at once.
 BLOCK = 2048
 #: Limits of the four steps that a filter's value (a difference of logarithms) falls in.
@@ -197,8 +197,12 @@ def align(prints: DataFrame, queries: DataFrame, id_col: str, errors: float = ER
     keyed = asked.select("id", F.size("codes").alias("size"), F.xxhash64("codes").alias("q"), F.xxhash64(F.lit(7), "codes").alias("q2"))
     near = keyed.join(found, ["q", "q2"]).join(two, ["e", "e2"]).withColumn("other", F.when(~F.col("o1").eqNullSafe(F.col("id")), F.col("o1")).when(~F.col("o2").eqNullSafe(F.col("id")), F.col("o2"))).where("other is not null")
     top = near.groupBy("id", "q", "q2").agg(F.min(F.struct("wrong", "other", "off")).alias("t"))
-    out = keyed.join(sums, ["q", "q2"], "left").join(top.withColumnRenamed("id", "id2"), [keyed.q == top.q, keyed.q2 == top.q2, F.col("id").eqNullSafe(F.col("id2"))], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1, F.lit(0)).cast("long").alias("n_matches"), F.col("t.other").alias("best_id"), F.col("t.off").alias("best_offset"), F.col("t.wrong").alias("best_errors"))
+    # A query that is itself in prints is no other recording.
+    itself = ids.select(F.col("other").alias("own_id"), F.col("e").alias("own_q"), F.col("e2").alias("own_q2")).distinct()
+    top = top.withColumnsRenamed({"id": "top_id", "q": "top_q", "q2": "top_q2"})
+    same = lambda x: [F.col("q") == F.col(f"{x}_q"), F.col("q2") == F.col(f"{x}_q2"), F.col("id").eqNullSafe(F.col(f"{x}_id"))]
+    out = keyed.join(sums, ["q", "q2"], "left").join(top, same("top"), "left").join(itself, same("own"), "left").withColumn("own", F.col("own_q").isNotNull().cast("int"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - F.col("own"), F.lit(0)).cast("long").alias("n_matches"), F.col("t.other").alias("best_id"), F.col("t.off").alias("best_offset"), F.col("t.wrong").alias("best_errors"))
 
 
 _NOTE = 700
