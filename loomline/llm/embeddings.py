@@ -19,7 +19,7 @@ from .graph import components
 SAMPLE = 20_000
 #: Vectors that a cell holds on average.
 PER_CELL = 64
-#: Share of neighbours at the threshold whose cell the traversal must reach.
+#: Share of neighbours at exactly the threshold whose cell the traversal must reach.
 RECALL = 0.98
 #: Vectors of a cell that one task compares with as many visitors.
 BLOCK = 1024
@@ -74,10 +74,12 @@ def visited(index: Index, x: np.ndarray) -> np.ndarray:
     in so many steps are those with (i + 1) * (j + 1) <= steps in the sorted lists; the least of these are taken at once."""
     l, r = _split(x)
     dl, dr = _dist(l, index.left), _dist(r, index.right)
-    a, b = np.argsort(dl, 1, kind="stable"), np.argsort(dr, 1, kind="stable")
-    i, j = np.nonzero(np.outer(np.arange(1, dl.shape[1] + 1), np.arange(1, dr.shape[1] + 1)) <= index.visits)
+    k, steps = (min(d.shape[1], index.visits) for d in (dl, dr)), index.visits
+    a, b = (np.argsort(d, 1, kind="stable")[:, :n] for d, n in zip((dl, dr), k, strict=True))
+    times = np.minimum(steps // np.arange(1, a.shape[1] + 1), b.shape[1])
+    i, j = np.repeat(np.arange(len(times)), times), np.concatenate([np.arange(n) for n in times])
     sums = np.take_along_axis(dl, a, 1)[:, i] + np.take_along_axis(dr, b, 1)[:, j]
-    best = np.argsort(sums, 1, kind="stable")[:, : index.visits]
+    best = np.argsort(sums, 1, kind="stable")[:, :steps]
     rows = np.arange(len(x))[:, None]
     return (a[rows, i[best]] * dr.shape[1] + b[rows, j[best]]).astype(np.int64)
 
@@ -85,10 +87,11 @@ def visited(index: Index, x: np.ndarray) -> np.ndarray:
 def learn(sample: np.ndarray, n: int, threshold: float, seed: int = 1) -> Index:
     """Codebooks for n vectors from a sample of unit vectors.
 
-    The traversal is as long as RECALL of neighbours need that are put at random on the sample's vectors at cosines
-    from the threshold to 1, so it holds at any size of the table.
+    The traversal is as long as RECALL of neighbours need that are put in random directions from the sample's vectors
+    at the threshold itself, the farthest that links may be. Cells grow in number with n up to a quarter of the
+    sample's vectors a half, so of a sample of 20,000 they hold PER_CELL vectors each up to 1.6 billion vectors.
     """
-    k = int(np.clip(round((n / PER_CELL) ** 0.5), 1, 1024))
+    k = int(np.clip(round((n / PER_CELL) ** 0.5), 1, max(1, len(sample) // 4)))
     l, r = _split(sample)
     index = Index(_kmeans(l, k, seed), _kmeans(r, k, seed + 1), 1)
     rnd = np.random.default_rng(seed)
@@ -96,28 +99,31 @@ def learn(sample: np.ndarray, n: int, threshold: float, seed: int = 1) -> Index:
     noise = rnd.standard_normal(x.shape)
     noise -= (noise * x).sum(1)[:, None] * x
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
-    cos = rnd.uniform(threshold, 1.0, len(x))[:, None]
-    home = visited(index, cos * x + np.sqrt(1 - cos**2) * noise)[:, 0]
+    home = visited(index, threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * noise)[:, 0]
     dl, dr = (_dist(p, c) for p, c in zip(_split(x), (index.left, index.right), strict=True))
     mine = dl[np.arange(len(x)), home // k] + dr[np.arange(len(x)), home % k]
     rank = np.zeros(len(x), np.int64)
-    for at in range(0, len(x), 64):
-        sums = dl[at : at + 64, :, None] + dr[at : at + 64, None, :]
-        rank[at : at + 64] = (sums < mine[at : at + 64, None, None] - 1e-12).sum((1, 2))
+    dr.sort(1)  # how many cells are nearer: for each left centroid, the right ones below what is left
+    for at in range(len(x)):
+        rank[at] = np.searchsorted(dr[at], mine[at] - 1e-12 - dl[at]).sum()
     index.visits = int(np.quantile(rank, RECALL, method="higher")) + 1
     return index
 
 
 def _valid(b: pa.RecordBatch) -> pa.RecordBatch:
-    keys, dims = [], []
+    keys, dims, vectors = [], [], []
     for v in b.column(1).to_pylist():
         ok = v and None not in v
         x = np.asarray(v, np.float64) if ok else np.empty(0)
-        ok = ok and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
-        d = xxhash.xxh3_128_digest(x.tobytes()) if ok else None
-        keys.append(d)
+        most = np.abs(x).max(initial=0)
+        ok = ok and 0 < most < np.inf
+        if ok and b.schema.field(1).type.value_type == pa.float64():
+            # By a power of two, which is exact; then no square is too large or too small. Floats' squares never are.
+            x = np.ldexp(x, -int(np.frexp(most)[1]))
+        keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
         dims.append(len(x) if ok else 0)
-    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["id", "x", "key", "dim"])
+        vectors.append(x if ok else None)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, b.schema.field(1).type), pa.array(keys, pa.binary()), pa.array(dims, pa.int32())], names=["id", "x", "key", "dim"])
 
 
 def _units(lists: list) -> np.ndarray:
@@ -175,12 +181,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     BLOCK x BLOCK; a block returns a sum and a label for each vector, never pairs.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; those of unlike
-    lengths don't link. A row with a null id counts for nobody and gets 0 links. Rows with one id are one
+    lengths don't link. Vectors of any finite length count: doubles are scaled by powers of two, arrays of floats stay
+    as they are. A row with an id that is null or no whole number counts for nobody and gets 0 links. Rows with one id are one
     vertex; their links are each row's own. Extra columns are left out; an empty table gives an empty result.
     """
     shared = Shared(vectors.sparkSession)
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    every = shared.write(arrow_map(src, _valid, "id long, x array<double>, key binary, dim int"), "vectors")
+    kind = vectors.select(vector_col).schema[0].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    src = vectors.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).cast(kind).alias("x"))
+    every = shared.write(arrow_map(src, _valid, f"id long, x {kind}, key binary, dim int"), "vectors")
     good = every.where("key is not null and id is not null")
     nodes = shared.write(good.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("x").alias("x")), "entries")
     found = []

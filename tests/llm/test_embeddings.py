@@ -65,3 +65,25 @@ def test_recall_and_traversal(spark):
 
 def test_empty(spark):
     assert e.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at a cosine just over 0.95, where the index finds fewest."""
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rnd.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.9505 * x + np.sqrt(1 - 0.9505**2) * noise
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.n_links for r in e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[i] > 0 for i in range(3000)) >= 0.95 * 3000
+
+
+def test_lengths_and_ids(spark):
+    rows = [("1", [1e200, 1e200]), ("2", [2e200, 2e200]), ("3", [3e-200, 3e-200]), ("4", [5e-324, 5e-324]), ("5", [1e200, -1e200]), ("x", [1.0, 1.0]), ("6", [0.0, 0.0]), ("7", [float("inf"), 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in e.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), None: (0, None, False)}
+    rows = [(1, [3e38, 3e38]), (2, [1.0, 1.0]), (3, [1e-40, 1e-40])]
+    assert {r.n_links for r in e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()} == {2}
