@@ -52,16 +52,16 @@ def fitting(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host and its parent domains, path segments with their depth, the last segment's ending, query keys, shapes of numbers."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, -i, i), ".")))
+    """Distinct tokens of a URL: scheme, host, its labels with their place from the top, path segments with their depth, the last segment's ending, query keys; numbers as their lengths. Their text grows with the URL's."""
+    labels = F.reverse(F.split(host, r"\."))
+    domains = F.concat(F.array(F.concat(F.lit("h:"), host)), F.transform(labels, lambda x, i: F.concat(F.lit("d"), i.cast("string"), F.lit(":"), x)))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    shape = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(x).cast("string"))).otherwise(x)
+    shape = lambda x: F.when(x.rlike(r"\A[0-9]+\z"), F.concat(F.lit("#"), F.length(x).cast("string"))).otherwise(x)
     parts = F.transform(segments, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), shape(x)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.split_part(x, F.lit("="), F.lit(1))))
     scheme = F.array(F.concat(F.lit("s:"), F.regexp_extract(F.coalesce(url, F.lit("")), "^([A-Za-z]*)://", 1)))
-    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
+    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1)
     ends = F.when(ending != "", F.array(F.concat(F.lit("e:"), ending))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(scheme, domains, parts, ends, keys))
 

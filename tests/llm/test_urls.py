@@ -66,11 +66,27 @@ def test_every_token_is_mined_and_met(spark):
     df = spark.createDataFrame([*block, *allow, *hosts, *asked], "page_id long, url string")
     tokens = {r.page_id: set(r.t) for r in df.select("page_id", urls.tokens_of(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("t")).collect()}
     assert {"p9:tell0", "q:k11"} <= tokens[0] and {"p9:tell0", "q:o8", "q:k11"} <= tokens[900] | tokens[901]
-    assert {"d:far.a.b.c.d.e.f0.org", "d:org"} <= tokens[200]
+    assert {"h:far.a.b.c.d.e.f0.org", "d0:org", "d1:f0", "d7:far"} <= tokens[200]
     got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(df, URL_RULES).where("page_id >= 900").collect()}
     assert got[900] == ("block", "p9:tell0") and got[901] == ("block", "q:k11") and got[902][0] == "allow"
 
 
+def test_judge_against_every_rule(spark):
+    """All mined rules against all tokens, one by one: most confidence, then support, then fewest tokens, then the verdict and its tokens."""
+    known = [(i, f"http://h{i % 5}.example.org/{'es' if i % 3 else 'en'}/{i % 4}/s{i % 7}.html?a={i}") for i in range(90)] + [(200 + i, f"http://w{i % 3}.com/{'de' if i % 2 else 'fr'}/{i % 4}/s{i % 5}") for i in range(60)]
+    asked = [(900 + i, f"http://h{i % 5}.w{i % 3}.net/{'es' if i % 2 else 'x'}/{i % 4}/s{i % 7}{'.html' if i % 3 else ''}") for i in range(40)]
+    df = spark.createDataFrame([*known, *asked, (999, "http://" + "a." * 20_000 + "net/" + "b/" * 20_000)], "page_id long, url string")
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    src = df.withColumn("t", urls.tokens_of(F.col("url"), host, path)).withColumn("at", urls.fitting(URL_RULES, host, path))
+    of = F.when(F.col("at").isin(0, 3), "allow").otherwise("block")
+    rules = urls.mine(src.where("at is not null").select(F.col("t").alias("tokens"), of.alias("verdict")), Shared(spark)).collect()
+    assert len(rules) > 5
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(df, URL_RULES).collect()}
+    for r in src.where("at is null").collect():
+        fits = [(x.confidence, x.support, -x.size, x.verdict, " ".join(x.tokens)) for x in rules if set(x.tokens) <= set(r.t)]
+        assert got[r.page_id] == (max(fits)[3:] if fits else (urls.DEFAULT, None))
+
+
 def test_tokens_of_the_same_urls(spark):
     rows = [([*(f"k{j}" for j in range(30)), f"n{i % 3}", "x"], "block" if i % 3 else "allow") for i in range(30)] + [(["x", f"n{i % 3}"], "allow") for i in range(30)]
     got = {(tuple(r.tokens), r.verdict, round(r.confidence, 9)) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), Shared(spark), 0.05, 0.8).collect()}
