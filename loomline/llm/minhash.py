@@ -43,7 +43,7 @@ def least_shared(pct: int) -> int:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """id, n_shingles, k1, k2 (128-bit key of the whole set, null if empty), sketch array<long> (ascending), t (hash of the text)."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    src = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, key, sk = [], [], []
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries have, so fewer than 4096, are broadcast.
 
     Null and empty texts and those of white space alone have an empty set: n_shingles 0, component_id the own id.
-    A row with a null id links with nothing and is not kept. Rows with one id are one vertex. Extra columns are left out.
+    A row with an id that is null or no whole number links with nothing, is not kept, and comes back without one. Rows with one id are one vertex. Extra columns are left out.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.min(F.struct("id", "t"))
     nodes = full.groupBy("k1", "k2").agg(least.alias("m"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = shared.write(nodes.select("k1", "k2", F.col("m.id").alias("rep"), F.col("m.t").alias("t"), "n", "sketch"), "nodes")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     prefixes = _prefixes(nodes, percent, shared)
     lists, total = _lists(prefixes, shared)
     short = shared.write(_short_pairs(_with_sketch(lists.where(f"cnt <= {SHORT}"), prefixes), percent), "short")

@@ -69,6 +69,12 @@ def test_id_with_two_texts_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_ids_that_are_no_numbers(spark):
+    rows = [("5", "a b c d e f"), ("x", "a b c d e f"), ("7", "A b c d e f")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r[0]), r[2], r[3]) for r in got) == [("5", 5, True), ("7", 5, False), ("None", None, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3), (100, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Shared(spark)).collect()))
