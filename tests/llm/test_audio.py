@@ -13,8 +13,8 @@ def brute(prints, queries, own=True):
             best = None
             for off in range(1 - len(q), len(x)):
                 pairs = [(x[b + off], q[b]) for b in range(len(q)) if 0 <= b + off < len(x)]
-                wrong = sum(((u ^ v) & 0xFFFFFFFF).bit_count() for u, v in pairs) / (32 * len(pairs))
-                if len(pairs) >= audio.OVERLAP * min(len(x), len(q)) and wrong <= audio.ERRORS:
+                wrong = sum(((u ^ v) & 0xFFFFFFFF).bit_count() for u, v in pairs) / max(1, 32 * len(pairs))
+                if pairs and len(pairs) >= audio.OVERLAP * min(len(x), len(q)) and wrong <= audio.ERRORS:
                     best = min(best or (2,), (wrong, abs(off), -off, off))
             if best:
                 found.append((best[0], j, best[3]))
