@@ -18,12 +18,16 @@ def extract_join_keys(message: Column, names: tuple[str, ...] = ID_NAMES) -> Col
 
 def extract_labels(line: Column) -> Column:
     """Map of key=value pairs in a line; values may be quoted, the last of equal keys wins, quoted empty values are left out."""
-    pattern = r"(\w+)=(\"[^\"]*\"|'[^']*'|\S+)"
-    text = F.coalesce(line, F.lit(""))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("v"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.regexp_replace(p["v"], r"^(?:\"(.*)\"|'(.*)')$", "$1$2").alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]) & (p["v"] != ""))
-    return F.map_from_entries(last)
+    pattern, text = r"(\w+)=(\"[^\"]*\"|'[^']*'|\S+)", F.coalesce(line, F.lit(""))
+    of = lambda group: F.reverse(F.regexp_extract_all(text, F.lit(pattern), group))
+
+    def pairs(x: Column) -> Column:
+        """From names and values, last first: a name's first place is that of the value that counts."""
+        kept = F.filter(F.sequence(F.lit(1), F.size(x["k"])), lambda i: (F.array_position(x["k"], x["k"][i - 1]) == i) & ~x["v"][i - 1].isin('""', "''"))
+        return F.map_from_entries(F.transform(kept, lambda i: F.struct(x["k"][i - 1].alias("k"), F.regexp_replace(x["v"][i - 1], r"^(?:\"(.*)\"|'(.*)')\z", "$1$2").alias("v"))))
+
+    # A lambda's variable holds the two lists, so each is found once a line.
+    return F.transform(F.array(F.struct(of(1).alias("k"), of(2).alias("v"))), lambda x: F.when(F.size(x["k"]) > 0, pairs(x)).otherwise(F.create_map().cast("map<string,string>")))[0]
 
 
 def content_hash(*fields: Column) -> Column:

@@ -27,18 +27,24 @@ def _tagged(streams: list[DataFrame], join: ast.Join, on_mode: str) -> DataFrame
 
 
 def within_two(ev: DataFrame, ms: int) -> DataFrame:
-    """Events that have one of the other side at most ms away: the nearest before and after, by windows over a key's
-    events in order of time. RANGE frames make events of one time neighbours. Without a time there is no neighbour."""
-    timed = ev.where("ts_ms is not null")
-    group = W.partitionBy("join_value")
-    past = group.orderBy("ts_ms").rangeBetween(W.unboundedPreceding, W.currentRow)
-    future = group.orderBy("ts_ms").rangeBetween(W.currentRow, W.unboundedFollowing)
+    """Events that have one of the other side at most ms away. Without a time there is no neighbour.
+
+    Times are cut in buckets of the band's width: an event of the other side in the same bucket is near, one two
+    buckets off isn't, and in the buckets beside the nearest is the last or the first. So a table of first and last
+    times by value and bucket decides, and a value with many events is spread over its buckets.
+    """
+    width = max(ms, 1)
+    timed = ev.where("ts_ms is not null").withColumn("_b", F.floor(F.col("ts_ms") / width))
+    side = lambda f, i: f(F.when(F.col("stream_idx") == i, F.col("ts_ms")))
+    ends = timed.groupBy("join_value", "_b").agg(*(side(f, i).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in (0, 1)))
+    seen = ends.select("join_value", F.explode(F.array(*(F.struct((F.col("_b") + d).alias("_b"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("x"), "lo0", "lo1", "hi0", "hi1")
+    at = lambda c, d: F.max(F.when(F.col("x.d") == d, F.col(c)))
+    seen = seen.groupBy("join_value", F.col("x._b").alias("_b")).agg(*(x.alias(f"_{n}{i}") for i in (0, 1) for n, x in (("here", at(f"lo{i}", 0)), ("past", at(f"hi{i}", 1)), ("next", at(f"lo{i}", -1)))))
     near = F.lit(False)
-    for mine in (0, 1):
-        t = F.when(F.col("stream_idx") == 1 - mine, F.col("ts_ms"))
-        ok = F.coalesce(F.col("ts_ms") - F.max(t).over(past) <= ms, F.lit(False)) | F.coalesce(F.min(t).over(future) - F.col("ts_ms") <= ms, F.lit(False))
+    for mine, other in ((0, 1), (1, 0)):
+        ok = F.col(f"_here{other}").isNotNull() | F.coalesce(F.col("ts_ms") - F.col(f"_past{other}") <= ms, F.lit(False)) | F.coalesce(F.col(f"_next{other}") - F.col("ts_ms") <= ms, F.lit(False))
         near = near | ((F.col("stream_idx") == mine) & ok)
-    return timed.withColumn("_near", near).where("_near").drop("_near")
+    return timed.join(seen, ["join_value", "_b"]).where(near).select(*ev.columns)
 
 
 def _event() -> Column:
@@ -90,17 +96,13 @@ def two_way(left: DataFrame, right: DataFrame, join: ast.Join, matchers: tuple[a
     """
     if join.side and join.kind == "and":
         return _grouped(left, right, join, matchers, output, on_mode, ids, within_everywhere)
-    if join.kind == "unless" and not (within_everywhere and join.within):
-        k = keys.key(join, on_mode)
-        gone = right.select(k.alias("join_value")).where("join_value is not null").distinct()
-        left = left.withColumn("join_value", k).where("join_value is not null").join(gone, "join_value", "left_anti").drop("join_value")
-        ev = _tagged([left], join, on_mode)
-    else:
-        ev = _tagged([left, right], join, on_mode)
-        if join.within and (join.kind == "and" or within_everywhere):
-            near = within_two(ev, parse_duration(join.within))
-            ev = near if join.kind == "and" else ev.where("stream_idx = 0").unionByName(near.where("stream_idx = 1")) if join.kind == "or" else ev.join(near.select("join_value").distinct(), "join_value", "left_anti").where("stream_idx = 0")
+    ev = _tagged([left, right], join, on_mode)
+    if join.within and (join.kind == "and" or within_everywhere):
+        near = within_two(ev, parse_duration(join.within))
+        ev = near if join.kind == "and" else ev.where("stream_idx = 0").unionByName(near.where("stream_idx = 1")) if join.kind == "or" else ev.join(near.select("join_value").distinct(), "join_value", "left_anti").where("stream_idx = 0")
     keep = predicates.event_filter(matchers)
+    if join.kind == "unless":  # the right decides, and none of its events is kept
+        keep = keep & (F.col("stream_idx") == 0)
     decided = {"and": "n_0 > 0 and n_1 > 0", "or": "n_0 > 0", "unless": "n_0 > 0 and n_1 = 0"}[join.kind]
     numbers = _numbers(2, keep)
     complete = (F.col("n_0") > 0) & (F.col("n_1") > 0)
@@ -137,27 +139,28 @@ def _grouped(left: DataFrame, right: DataFrame, join: ast.Join, matchers: tuple[
     return _record(got, join, F.lit(True), F.array_distinct(F.transform("evs", lambda e: e["source"])), 2, ids, [F.col("one_seq"), F.col("join_value")])
 
 
-def multi_way(streams: list[DataFrame], names: list[str], join: ast.Join, matchers: tuple[ast.Matcher, ...] | None = None, output: str = "nested", on_mode: str = "coalesce", ids: str = "hash", strict: bool = False) -> DataFrame:
+def multi_way(streams: list[DataFrame], names: list[str], join: ast.Join, matchers: tuple[ast.Matcher, ...] | None = None, output: str = "nested", on_mode: str = "coalesce", ids: str = "hash", strict: bool = False, one_event: bool = False) -> DataFrame:
     """Correlations of three streams or more, by the first join's settings.
 
     and: values of all streams. or: all values. unless: values of one stream alone. within keeps events at most so long
     after a value's first event, for every kind; which streams matched is told before that. A filter keeps whole
-    correlations in which, for each matcher, some event satisfies it (strict: only = and =~ count).
+    correlations in which, for each matcher, some event satisfies it (strict: only = and =~ count), or with one_event
+    those in which one event satisfies all.
     """
     n = len(streams)
     ev = _tagged(streams, join, on_mode)
     there = [F.count_if(F.col("stream_idx") == i).alias(f"n_{i}") for i in range(n)]
     if join.within:
-        group = W.partitionBy("join_value")
-        ev = ev.withColumns({f"_n{i}": F.count_if(F.col("stream_idx") == i).over(group) for i in range(n)} | {"_first": F.min("ts_ms").over(group)})
-        ev = ev.where(F.col("ts_ms") - F.col("_first") <= parse_duration(join.within))
+        stats = ev.groupBy("join_value").agg(*(c.alias(f"_n{i}") for i, c in enumerate(there)), F.min("ts_ms").alias("_first"))
+        ev = ev.join(stats, "join_value").where(F.col("ts_ms") - F.col("_first") <= parse_duration(join.within))
         there = [F.max(f"_n{i}").alias(f"n_{i}") for i in range(n)]
     present = sum((F.col(f"n_{i}") > 0).cast("int") for i in range(n))
     decided = {"and": present == n, "or": present >= 1, "unless": present == 1}[join.kind]
     wanted = [m for m in matchers or () if not strict or m.op in ("=", "=~")]
-    tests = [F.bool_or(predicates.matcher(m, predicates.label_of, False)).alias(f"_f{i}") for i, m in enumerate(wanted)]
+    tests = [predicates.matcher(m, predicates.label_of, False) for m in wanted]
+    tests = [F.bool_or(t).alias(f"_f{i}") for i, t in enumerate([predicates.all_of(tests)] if one_event and tests else tests)]
     numbers = [*there, F.count("*").alias("n_events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.sum("seq").alias("seq_sum"), F.min(F.struct("stream_idx", "seq")).alias("_order"), *tests]
-    passed = predicates.all_of([F.col(f"_f{i}") for i in range(len(wanted))])
+    passed = predicates.all_of([F.col(f"_f{i}") for i in range(len(tests))])
     matched = F.filter(F.array(*(F.when(F.col(f"n_{i}") > 0, F.lit(x)) for i, x in enumerate(names))), lambda x: x.isNotNull())
     complete = present == n
     if output == "long":

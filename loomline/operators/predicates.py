@@ -51,7 +51,7 @@ def matcher(m: ast.Matcher, of: Resolve, anchored: bool) -> Column:
             if anchored:
                 raise CorrelationError(f"Invalid pattern: {m.value}", "QUERY_PARSE_ERROR")
             return F.lit(m.op == "!~")
-        hit = value.rlike(f"^(?:{m.value})$" if anchored else m.value)
+        hit = value.rlike(rf"\A(?:{m.value})\z" if anchored else m.value)
     if not anchored:
         hit = (value != "") & hit
     return ~hit if m.op in ("!=", "!~") else hit
@@ -120,6 +120,11 @@ def event_filter(matchers: tuple[ast.Matcher, ...] | None, of: Resolve = label_o
     return all_of([matcher(m, of, False) for m in matchers or ()])
 
 
+def lenient(matchers: tuple[ast.Matcher, ...] | None) -> tuple[ast.Matcher, ...] | None:
+    """Those of a query's filter that strict mode counts: a plain name and a value in double quotes that isn't empty. The others are passed over."""
+    return None if matchers is None else tuple(m for m in matchers if re.fullmatch(r"\w+", m.label) and m.value and m.raw[:1] == '"')
+
+
 #: A matcher that a filter's text keeps in strict mode: name, operator, a value in double quotes.
 _STRICT = re.compile(r"\s*(\w+)\s*(=~|!=|!~|=)\s*\"([^\"]+)\"\s*")
 

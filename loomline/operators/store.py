@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,24 +68,28 @@ def _dedup_key(fields: tuple[str, ...]) -> list[Column]:
 def dedup(df: DataFrame, fields: tuple[str, ...] = ("timestamp", "message", "source"), window_ms: int | None = None) -> DataFrame:
     """One event, the first to arrive, of those with equal fields.
 
-    window_ms: an event within so long of the last one kept goes, without extending the window. Each set of equal
-    events is a chain, so equal events of one hash are taken in order of time in one group.
+    window_ms: an event within so long of the last one kept goes, without extending the window. Equal events are a
+    chain in order of time; each task reads its chains sorted, one batch at a time, and remembers the last event kept.
+    Events without a time stay, and so do all in a field list of which no field is known, but one.
     """
     keyed = events(df).withColumn("_k", text.content_hash(*_dedup_key(fields)))
     if window_ms is None:
-        first = keyed.groupBy("_k").agg(F.min("seq").alias("seq"))
-        return keyed.join(first, ["_k", "seq"], "left_semi").drop("_k")
-
-    def anchored(f: pd.DataFrame) -> pd.DataFrame:
-        f, keep, last = f.sort_values(["ts_ms", "seq"], na_position="first"), [], None
-        for t in f.ts_ms:
-            fresh = pd.isna(t) or last is None or t - last >= window_ms
-            keep.append(fresh)
-            last = t if fresh and not pd.isna(t) else last
-        return f[keep]
-
-    narrow = keyed.select("_k", "ts_ms", "seq").groupBy("_k").applyInPandas(anchored, "_k string, ts_ms long, seq long")
-    return keyed.join(narrow.select("_k", "seq"), ["_k", "seq"], "left_semi").drop("_k")
+        first = F.min_by(F.struct(*COLUMNS), F.struct("seq", "ts_ms", "stream", "source", "message"))
+        return keyed.groupBy("_k").agg(first.alias("_e")).select("_e.*")
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (k, t) in enumerate(zip(b.column("_k").to_pylist(), b.column("ts_ms").to_pylist(), strict=True)):
+                if k != key:
+                    key, last = k, None
+                if t is None or last is None or t - last >= window_ms:
+                    keep[i], last = True, last if t is None else t
+            yield b.filter(pa.array(keep))
+
+    chains = keyed.repartition("_k").sortWithinPartitions("_k", "ts_ms", "seq")
+    return chains.mapInArrow(anchored, chains.schema).drop("_k")
 
 
 def merge(streams: dict[str, DataFrame]) -> DataFrame:

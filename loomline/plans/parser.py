@@ -126,11 +126,11 @@ class Reader:
         value = _re(r"(?s)\\(.)").sub(r"\1", m[1] if m[1] is not None else m[2])
         return f"{m[0][0]}{value}{m[0][0]}", value
 
-    def ident(self) -> str:
-        return self.take(IDENT, "a name")
+    def ident(self, what: str = "a name") -> str:
+        return self.take(IDENT, what)
 
-    def field(self) -> str:
-        return self.take(FIELD, "a field")
+    def field(self, what: str = "a field") -> str:
+        return self.take(FIELD, what)
 
     def duration(self) -> str:
         return self.take(rf"{NUMBER}[smhd]", "a duration")
@@ -138,7 +138,7 @@ class Reader:
     # Selectors
 
     def matcher(self) -> ast.Matcher:
-        label = self.ident()
+        label = self.ident("a label")
         self.space()
         op = self.take(r"=~|!~|!=|=", "an operator")
         self.space()
@@ -239,7 +239,7 @@ class Reader:
     # Queries
 
     def stream(self) -> ast.Stream:
-        source = self.ident()
+        source = self.ident("a source")
         self.space()
         selector = self.inside("(", ")", self.selector)
         self.space()
@@ -250,13 +250,13 @@ class Reader:
         mappings: list[tuple[str, str]] = []
 
         def key() -> str:
-            left = self.field()
+            left = self.field("a key")
 
             def mapped() -> str:
                 self.space()
                 self.lit("=")
                 self.space()
-                mappings.append((left, self.field()))
+                mappings.append((left, self.field("a key")))
                 return left
 
             return self.maybe(mapped) or left
@@ -331,6 +331,16 @@ class Reader:
         return ast.Query(tuple(streams), tuple(joins), found, warned)
 
 
+def expected(text: str) -> set[str]:
+    """What may stand at the end of an unfinished query; nothing if it can't go on from there."""
+    r = Reader(text)
+    try:
+        r.query()
+    except _Fail:
+        pass
+    return r.want if r.far == len(text) else set()
+
+
 def _read(text: str) -> ast.Query:
     r = Reader(text)
     try:

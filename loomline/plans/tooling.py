@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from ..errors import CorrelationError
-from .parser import parse
+from . import ast
+from .parser import expected, parse
 
 #: What completion offers. Fixed values.
 RANGES = ["[5m]", "[1m]", "[30s]", "[1h]", "[24h]"]
@@ -31,23 +33,30 @@ def validate(text: str) -> dict:
     return {"valid": True, "details": details, "warnings": list(q.warnings)}
 
 
+#: What is offered where the parser expects these.
+_OFFERS = {'"within"': MODIFIERS, "a source": SOURCES, '"["': RANGES, '"and"': JOINS, "a key": KEYS, "a label": LABELS}
+_ASKED = re.compile(r"([A-Za-z_][A-Za-z0-9_:]*)\s*(?:=~|!~|!=|=)\s*\Z")
+
+
 def suggest(text: str, position: int) -> list[str]:
-    """What may follow at a place of an unfinished query."""
+    """What may follow at a place of an unfinished query: offers for all that the parser expects there, values by their label."""
     head = text[:position]
-    bare = head.rstrip(" \t\r\n")
-    if head and head != bare:
-        if ")" in head and "[" not in head:
-            return list(RANGES)
-        if bare.endswith("]"):
-            return list(JOINS)
-        return list(MODIFIERS) if bare.endswith(")") and " on(" in head else []
-    if head.endswith("on("):
-        return list(KEYS)
-    if head.endswith("{"):
-        return list(LABELS)
-    if re.search("(?:=|=~|!~)$", head):
-        return next((list(v) for k, v in VALUES.items() if k in head), [])
-    return [] if bare else list(SOURCES)
+    want = expected(head)
+    if "a quoted text" in want and (m := _ASKED.search(head)):
+        return list(VALUES.get(m[1], []))
+    if '"within"' in want and not head[-1:].isspace():
+        return []  # a modifier stands apart
+    return [x for what, offer in _OFFERS.items() if what in want for x in offer]
+
+
+def _join_text(j: ast.Join) -> str:
+    mapped, words = dict(j.mappings), [j.kind]
+    if j.keys:
+        words.append("on(" + ", ".join(f"{k}={mapped[k]}" if k in mapped else k for k in j.keys) + ")")
+    words += [f"within({j.within})"] if j.within else []
+    words += ["ignoring(" + ", ".join(j.ignoring) + ")"] if j.ignoring is not None else []
+    words += [f"group_{j.side}(" + ", ".join(j.group_labels) + ")"] if j.side else []
+    return " ".join(words)
 
 
 def format_query(text: str) -> str:
@@ -59,54 +68,57 @@ def format_query(text: str) -> str:
     show = lambda s: f"{s.source}({s.selector.text()})[{s.time_range}]"
     lines = [show(q.streams[0])]
     for j, s in zip(q.joins, q.streams[1:], strict=True):
-        mapped = dict(j.mappings)
-        words = [j.kind]
-        if j.keys:
-            words.append("on(" + ", ".join(f"{k}={mapped[k]}" if k in mapped else k for k in j.keys) + ")")
-        words += [f"within({j.within})"] if j.within else []
-        words += ["ignoring(" + ", ".join(j.ignoring) + ")"] if j.ignoring is not None else []
-        words += [f"group_{j.side}(" + ", ".join(j.group_labels) + ")"] if j.side else []
-        lines += ["  " + " ".join(words), "  " + show(s)]
+        lines += ["  " + _join_text(j), "  " + show(s)]
     return "\n".join([*lines, *([q.filter_text()] if q.filter is not None else [])])
 
 
 class QueryBuilder:
-    """Builds a query's text step by step: add_stream, join, with_..., and_stream, build."""
+    """Builds a query step by step: streams, and between two of them a join with its settings; build() gives the text, checked."""
 
     def __init__(self):
-        self.parts: list[str] = []
-
-    def _joined(self) -> None:
-        if not self.parts:
-            raise ValueError("Add first stream before join operator")
+        self.streams: list[str] = []
+        self.joins: list[ast.Join] = []
+        self.filter: str | None = None
+
+    def _set(self, **what: object) -> QueryBuilder:
+        if len(self.joins) < len(self.streams) or not self.joins:
+            raise ValueError("a join's settings follow the join and stand before its stream")
+        self.joins[-1] = replace(self.joins[-1], **what)
+        return self
 
     def add_stream(self, source: str, selector: str, time_range: str) -> QueryBuilder:
-        if self.parts:
-            raise ValueError("Join operator must be added before second stream")
-        self.parts.append(f"{source}({selector})[{time_range}]")
+        if len(self.streams) != len(self.joins):
+            raise ValueError("two streams need a join between them")
+        self.streams.append(f"{source}({selector})[{time_range}]")
         return self
 
+    and_stream = add_stream
+
     def join(self, kind: str, keys: list[str]) -> QueryBuilder:
-        self._joined()
-        self.parts.append(f"{kind} on({','.join(keys)})")
+        """keys: names, or left=right for a mapping."""
+        if len(self.streams) != len(self.joins) + 1:
+            raise ValueError("a join stands between two streams")
+        pairs = [k.split("=", 1) for k in keys]
+        self.joins.append(ast.Join(kind, tuple(p[0].strip() for p in pairs), tuple((p[0].strip(), p[1].strip()) for p in pairs if len(p) > 1)))
         return self
 
     def with_temporal(self, window: str) -> QueryBuilder:
-        self._joined()
-        self.parts.append(f"within({window})")
-        return self
+        return self._set(within=window)
+
+    def with_ignoring(self, labels: list[str]) -> QueryBuilder:
+        return self._set(ignoring=tuple(labels))
 
     def with_grouping(self, side: str, labels: list[str] | None = None) -> QueryBuilder:
-        self._joined()
-        self.parts.append(f"group_{side}({','.join(labels or [])})")
-        return self
+        return self._set(side=side, group_labels=tuple(labels or ()))
 
-    def and_stream(self, source: str, selector: str, time_range: str) -> QueryBuilder:
-        self._joined()
-        self.parts.append(f"{source}({selector})[{time_range}]")
+    def with_filter(self, text: str) -> QueryBuilder:
+        self.filter = text
         return self
 
     def build(self) -> str:
-        if not self.parts:
-            raise ValueError("Query is empty")
-        return " ".join(self.parts)
+        """The query's text; CorrelationError if it isn't one."""
+        if not self.streams or len(self.streams) != len(self.joins) + 1:
+            raise ValueError("a query is streams with joins between them")
+        text = " ".join([self.streams[0], *(f"{_join_text(j)} {s}" for j, s in zip(self.joins, self.streams[1:], strict=True)), *([self.filter] if self.filter else [])])
+        parse(text)
+        return text

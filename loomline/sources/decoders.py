@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,12 @@ def _or(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
-def _seq(*places: Column) -> Column:
-    """Order of arrival from places in a payload, each below 2**20."""
-    out = F.lit(0).cast("long")
-    for p in places:
-        out = out * (1 << 20) + p.cast("long")
-    return out
+def _arrived(df: DataFrame, ms: Column, *what: Column) -> Column:
+    """Order of arrival: by task, payload, then place in the payload. It is unique over all payloads, so it comes last,
+    after the payloads are taken apart. A stream, which can't number its rows, has the time and a hash of `what`."""
+    if df.isStreaming:
+        return F.shiftleft(ms, 20) + F.pmod(F.xxhash64(*what), F.lit(1 << 20))
+    return F.monotonically_increasing_id()
 
 
 def loki(payloads: DataFrame, column: str = "body") -> DataFrame:
@@ -34,50 +35,57 @@ def loki(payloads: DataFrame, column: str = "body") -> DataFrame:
     p = payloads.select(F.from_json(column, schema).alias("p")).select(F.posexplode("p.data.result").alias("i", "r"))
     p = p.select("i", F.col("r.stream").alias("labels"), F.posexplode("r.values").alias("j", "v"))
     message, at = F.coalesce(F.col("v")[1], F.lit("")), F.col("v")[0]
+    ms = F.floor(at.cast("decimal(38,0)") / 1_000_000).cast("long")
     return p.select(
         iso_of_nanos(at).alias("timestamp"), F.lit("loki").alias("source"), F.coalesce(_or(F.element_at("labels", F.lit("job")), F.element_at("labels", F.lit("service"))), F.lit("unknown")).alias("stream"),
-        message.alias("message"), "labels", extract_join_keys(message).alias("join_keys"), F.floor(at.cast("decimal(38,0)") / 1_000_000).cast("long").alias("ts_ms"), _seq(F.col("i"), F.col("j")).alias("seq"),
+        message.alias("message"), "labels", extract_join_keys(message).alias("join_keys"), ms.alias("ts_ms"), _arrived(p, ms, at, message, F.to_json("labels")).alias("seq"),
     ).select(*COLUMNS)
 
 
 def _graylog(rows: DataFrame, now: Column) -> DataFrame:
-    """From id, message, timestamp, source, fields (map of texts) and seq."""
+    """From message, timestamp, source and fields (map of texts)."""
     ids = F.map_filter("fields", lambda k, v: k.endswith("_id") | k.contains("correlation") | k.contains("trace"))
     told = extract_join_keys(F.col("message"), ID_NAMES[:4])
     keys = F.map_concat(F.map_filter(ids, lambda k, _: ~F.map_contains_key(told, k)), told)
     stamp = F.coalesce(_or(F.col("timestamp")), now)
-    return rows.select(stamp.alias("timestamp"), F.lit("graylog").alias("source"), F.coalesce(_or(F.col("source")), F.lit("unknown")).alias("stream"), F.coalesce("message", F.lit("")).alias("message"), F.col("fields").alias("labels"), keys.alias("join_keys"), millis(stamp).alias("ts_ms"), "seq").select(*COLUMNS)
+    return rows.select(stamp.alias("timestamp"), F.lit("graylog").alias("source"), F.coalesce(_or(F.col("source")), F.lit("unknown")).alias("stream"), F.coalesce("message", F.lit("")).alias("message"), F.col("fields").alias("labels"), keys.alias("join_keys"), millis(stamp).alias("ts_ms"), _arrived(rows, millis(stamp), F.col("message"), F.to_json("fields")).alias("seq")).select(*COLUMNS)
 
 
 def graylog_json(payloads: DataFrame, column: str = "body", now: Column | None = None) -> DataFrame:
     """Events of relative-search bodies: scalar fields become labels, objects and arrays are left out."""
     now = now if now is not None else iso(F.unix_millis(F.current_timestamp()))
-    message = "struct<_id string, message string, timestamp string, source string, fields map<string,string>>"
-    p = payloads.select(F.from_json(column, f"messages array<struct<message {message}, index string>>").alias("p")).select(F.posexplode("p.messages").alias("seq", "m"))
-    fields = F.coalesce("m.message.fields", F.create_map().cast(_EMPTY))
-    scalar = F.map_filter(fields, lambda _, v: v.isNotNull() & ~v.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$"))
-    return _graylog(p.select(F.col("m.message.message").alias("message"), F.col("m.message.timestamp").alias("timestamp"), F.col("m.message.source").alias("source"), scalar.alias("fields"), F.col("seq").cast("long")), now)
+    message = "struct<_id string, message string, timestamp string, source string, fields map<string,variant>>"
+    p = payloads.select(F.from_json(column, f"messages array<struct<message {message}, index string>>").alias("p")).select(F.explode("p.messages").alias("m"))
+    # A variant knows a text such as "[info]" from a list.
+    scalar = F.map_filter(F.coalesce("m.message.fields", F.create_map().cast("map<string,variant>")), lambda _, v: v.isNotNull() & ~F.is_variant_null(v) & ~F.schema_of_variant(v).rlike("^(?:ARRAY|OBJECT)"))
+    fields = F.transform_values(scalar, lambda _, v: v.cast("string"))
+    return _graylog(p.select(F.col("m.message.message").alias("message"), F.col("m.message.timestamp").alias("timestamp"), F.col("m.message.source").alias("source"), fields.alias("fields")), now)
 
 
 def graylog_csv(spark: SparkSession, lines: DataFrame | str, now: Column | None = None) -> DataFrame:
     """Events of a CSV answer: a path, or a frame with one line a row (column value), the header first.
 
-    The header is lower-cased, rows of another length go, a row without an id gets one, further columns become labels.
-    Quotes are doubled within quoted fields.
+    The header is lower-cased, rows of another length go, further columns become labels. Quotes are doubled within
+    quoted fields; lines equal to the header, as of several answers in one frame, are headers.
     """
     now = now if now is not None else iso(F.unix_millis(F.current_timestamp()))
-    opts = {"header": True, "quote": '"', "escape": '"', "mode": "DROPMALFORMED", "nullValue": "\x00", "emptyValue": "", "enforceSchema": False}
+    opts = {"quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": ""}
     if isinstance(lines, str):
-        df = spark.read.options(**opts, multiLine=True).csv(lines)
+        df = spark.read.options(**opts, header=True, mode="DROPMALFORMED", enforceSchema=False, multiLine=True).csv(lines)
     else:
-        df = spark.read.options(**opts).csv(lines.rdd.map(lambda r: r[0]))
-    df = df.toDF(*(c.strip().lower() for c in df.columns)).withColumn("seq", F.monotonically_increasing_id())
+        head = lines.first()
+        names = next(csv.reader([head[0]]), []) if head else []
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        parsed = F.from_csv(F.col(lines.columns[0]), f"{schema}, `\x00` string", {**opts, "columnNameOfCorruptRecord": "\x00"}) if names else None
+        rows = lines.where(F.col(lines.columns[0]) != head[0]) if head else lines
+        df = rows.select(parsed.alias("p")).select("p.*").where("`\x00` is null").drop("\x00") if names else rows.select(F.lit("").alias("message")).limit(0)
+    df = df.toDF(*(c.strip().lower() for c in df.columns))
     for c in ("message", "timestamp", "source"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    more = [c for c in df.columns if c not in ("_id", "message", "timestamp", "source", "seq")]
+    more = [c for c in df.columns if c not in ("_id", "message", "timestamp", "source")]
     fields = F.map_filter(F.create_map(*(x for c in more for x in (F.lit(c), F.col(f"`{c}`")))), lambda _, v: v.isNotNull()) if more else F.create_map().cast(_EMPTY)
-    return _graylog(df.select("message", "timestamp", "source", fields.alias("fields"), "seq"), now)
+    return _graylog(df.select("message", "timestamp", "source", fields.alias("fields")), now)
 
 
 def prometheus(payloads: DataFrame, column: str = "body", limit: int | None = None) -> DataFrame:
@@ -95,7 +103,7 @@ def prometheus(payloads: DataFrame, column: str = "body", limit: int | None = No
     plain = F.map_filter("metric", lambda k, _: k != "__value__")
     out = s.select(
         iso(ms).alias("timestamp"), F.lit("promql").alias("source"), name.alias("stream"), F.concat(name, F.lit("="), F.col("v")[1]).alias("message"),
-        F.map_concat(plain, F.create_map(F.lit("__value__"), F.col("v")[1])).alias("labels"), F.col("metric").alias("join_keys"), ms.alias("ts_ms"), _seq(F.col("i"), F.col("j")).alias("seq"),
+        F.map_concat(plain, F.create_map(F.lit("__value__"), F.col("v")[1])).alias("labels"), F.col("metric").alias("join_keys"), ms.alias("ts_ms"), _arrived(s, ms, F.to_json("metric"), F.col("v")[0], F.col("v")[1]).alias("seq"),
     ).select(*COLUMNS)
     return out.orderBy("seq").limit(limit) if limit else out
 

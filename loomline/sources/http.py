@@ -31,7 +31,10 @@ from . import decoders
 LIMIT, TIMEOUT_S, RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 1000, 30, 3, 1.0, 30.0
 KINDS = ("loki", "graylog", "graylog_views", "prometheus")
 #: Fields that a views search asks for. Fixed values.
-VIEW_FIELDS = ("timestamp", "source", "message", "_id", "level", "service", "request_id", "trace_id", "session_id", "correlation_id", "span_id", "user_id")
+VIEW_FIELDS = (
+    "timestamp", "source", "message", "_id", "level", "severity", "tier", "application", "http_status_class", "status", "http_status", "trace_id", "request_id", "correlation_id", "session_id",
+    "span_id", "host", "service", "component", "module", "user", "client_ip", "method", "path", "url", "response_time", "duration", "size",
+)
 _ERRORS = {"loki": "LOKI_QUERY_ERROR", "graylog": "GRAYLOG_SEARCH_ERROR", "graylog_views": "GRAYLOG_SEARCH_ERROR", "prometheus": "PROMQL_QUERY_ERROR"}
 _LISTING_ERRORS = {**_ERRORS, "loki": "LOKI_LABELS_ERROR", "graylog": "GRAYLOG_STREAMS_ERROR", "graylog_views": "GRAYLOG_STREAMS_ERROR"}
 
@@ -120,9 +123,7 @@ class Client:
             mid = (start + end) // 2
             yield from self._whole(query, start, mid, limit, stream)
             yield from self._whole(query, mid, end, limit, stream)
-        elif limit > self.limit * 64:
-            raise CorrelationError(f"{self.kind}: one moment holds more than {limit} events", _ERRORS[self.kind])
-        else:  # one moment that holds more than a request's rows
+        else:  # one moment that holds more than a request's rows: more are asked for, until all come or the server refuses
             yield from self._whole(query, start, end, limit * 2, stream)
 
     def _loki(self, query: str, start: int, end: int, limit: int, _: str | None) -> tuple[str, int]:

@@ -13,8 +13,8 @@ HIGH_LATENCY_MS, LOW_ROWS, AFTER_ROWS, HIGH_STATE_MB = 100, 10, 100, 100
 class Monitor(StreamingQueryListener):
     """Tells each progress to `listen(event, details)`: metrics, then highLatency, lowThroughput or highMemoryUsage where they hold."""
 
-    def __init__(self, listen: Callable[[str, dict], None]):
-        self.listen, self.rows = listen, 0
+    def __init__(self, listen: Callable[[str, dict], None], high_state_mb: float = HIGH_STATE_MB):
+        self.listen, self.rows, self.high_state_mb = listen, 0, high_state_mb
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         self.listen("started", {"id": str(event.id)})
@@ -24,7 +24,7 @@ class Monitor(StreamingQueryListener):
         self.rows += p.numInputRows
         m = {"events_processed": self.rows, "events_per_second": p.processedRowsPerSecond or 0.0, "latency_ms": p.batchDuration, "state_mb": sum(s.memoryUsedBytes for s in p.stateOperators) / 1e6}
         self.listen("metrics", m)
-        for name, bad in (("highLatency", m["latency_ms"] > HIGH_LATENCY_MS), ("lowThroughput", self.rows > AFTER_ROWS and m["events_per_second"] < LOW_ROWS), ("highMemoryUsage", m["state_mb"] > HIGH_STATE_MB)):
+        for name, bad in (("highLatency", m["latency_ms"] > HIGH_LATENCY_MS), ("lowThroughput", self.rows > AFTER_ROWS and m["events_per_second"] < LOW_ROWS), ("highMemoryUsage", m["state_mb"] > self.high_state_mb)):
             if bad:
                 self.listen(name, m)
 

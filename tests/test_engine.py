@@ -45,7 +45,12 @@ def test_engine(spark):
     e.on("correlationFound", seen.append)
     e.add_source("A", EventSource(spark.createDataFrame([row("r1", 1, level="error"), row("r2", 2)], EVENT).withColumn("ts_ms", F.lit(1))))
     e.add_source("b", EventSource(spark.createDataFrame([row("r1", 3)], EVENT).withColumn("ts_ms", F.lit(1))))
+    told = []
+    e.on("performanceMetrics", told.append)
+    e.on("memoryWarning", told.append)
+    e.options.max_memory_mb = 0
     assert e.emit("a({})[5m] and on(request_id) b({})[5m]") == 1 and len(seen) == 3
+    assert told[0]["correlations"] == 1 and told[1]["used_mb"] > 0
     assert e.validate("a({})[5m] and on(k) b({})[5m]") and not e.validate("a({})[5m]")
     assert e.available() == {"A": ["level", "request_id"], "b": ["request_id"]}
     for code, do in (("ADAPTER_EXISTS", lambda: e.add_source("A", None)), ("ADAPTER_NOT_FOUND", lambda: e.correlate("zz({})[5m] and on(k) b({})[5m]"))):

@@ -44,5 +44,20 @@ def test_tools():
     assert "request_id" in suggest("a({})[5m] and on(", 17) and suggest("a({level=", 9)[0] == '"info"'
     text = QueryBuilder().add_stream("a", "{}", "5m").join("and", ["k"]).with_temporal("30s").and_stream("b", "{}", "5m").build()
     assert parse(text).join.within == "30s"
-    with pytest.raises(ValueError):
-        QueryBuilder().join("and", ["k"])
+    for wrong in (lambda b: b.join("and", ["k"]), lambda b: b.add_stream("a", "{}", "5m").add_stream("b", "{}", "5m"), lambda b: b.add_stream("a", "{}", "5m").with_temporal("5s"), lambda b: b.build()):
+        with pytest.raises(ValueError):
+            wrong(QueryBuilder())
+    with pytest.raises(CorrelationError):
+        QueryBuilder().add_stream("a", "{x}", "5m").join("and", ["k"]).add_stream("b", "{}", "5m").build()
+    text = QueryBuilder().add_stream("a", "{}", "5m").join("or", ["k=j", "z"]).with_ignoring(["q"]).with_grouping("left", ["x"]).add_stream("b", "{}", "5m").with_filter('{s="1"}').build()
+    j = parse(text).join
+    assert (j.mappings, j.keys, j.ignoring, j.side, j.group_labels) == ((("k", "j"),), ("k", "z"), ("q",), "left", ("x",))
+
+
+def test_suggestions_follow_the_parser():
+    at = lambda t: suggest(t, len(t))
+    assert at("a({}) ") == at("a({})") == ["[5m]", "[1m]", "[30s]", "[1h]", "[24h]"]
+    assert at("a({})[5m] and on(x) ")[:4] == ["within(", "ignoring(", "group_left(", "group_right("] and "loki(" in at("a({})[5m] and on(x) ")
+    assert at("a({")[0] == at('a({level="x", ')[0] == "service=" and at("a({status!~")[-1] == '"5.."' and at("a({other=") == []
+    assert at("a({})[5m] and on(k, ")[0] == "request_id" and at("a({})[5m] xor ") == [] and at("a(x:1 AND ") == []
+    assert "and on(" in at("a({})[5m] and on(k) b({})[5m] ")
