@@ -26,6 +26,10 @@ OUT = T.StructType(
 )
 
 
+#: A moment after all events, and the join value of what lies past it. Two events there push the watermark past every value's time.
+END_MS, _END = 253_000_000_000_000, "\0end"
+
+
 class _Join(StatefulProcessor):
     """kind: and, or, unless. live: a value's snapshot is emitted at the first moment that decides it, and once. Else
     a value is answered from all that came when its time is over: late_ms after its first event, by the watermark or,
@@ -56,6 +60,8 @@ class _Join(StatefulProcessor):
             s.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        if key[0] == _END:
+            return
         began, answered = self.began.get() if self.began.exists() else (None, 0)
         n = list(self.counts.get()) if self.counts.exists() else [0, 0]
         new: list[list[tuple]] = [[], []]
@@ -108,14 +114,12 @@ def join(left: DataFrame, right: DataFrame, how: ast.Join, late_ms: int = 30_000
     if clock == "event":
         both = both.where("ts_ms is not null").withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", f"{late_ms} milliseconds")
     cols = ["join_value", "stream_idx", "ts_ms", "seq", "message", *(["at"] if clock == "event" else [])]
-    rows = both.withColumn("join_value", keys.key(how)).where("join_value is not null").select(*cols)
+    # What ends a stream must reach the watermark, so it has a value of its own.
+    value = F.when(F.col("ts_ms") >= END_MS, F.lit(_END)).otherwise(keys.key(how))
+    rows = both.withColumn("join_value", value).where("join_value is not null").select(*cols)
     return rows.groupBy("join_value").transformWithState(_Join(how.kind, live, late_ms, clock), OUT, "append", "EventTime" if clock == "event" else "ProcessingTime")
 
 
-#: A moment after all events, whose two last events (without labels) push the watermark past every value's time.
-END_MS = 253_000_000_000_000
-
-
 def finish(spark: SparkSession, path: str) -> None:
     """Adds to a folder of JSON events what ends all event times at the next trigger; it joins with nothing."""
     for k in range(2):
@@ -138,8 +142,10 @@ def window_counts(stream: DataFrame, window: str, slide: str | None = None, late
 
 def session_counts(stream: DataFrame, gap: str, label: str, late_ms: int = 30_000) -> DataFrame:
     """Events of each value of a label in sessions that end after a gap without events, emitted when the watermark passes them: value, window, n."""
-    at = events(stream).withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", f"{late_ms} milliseconds").withColumn("value", F.element_at("labels", F.lit(label))).where("value is not null")
-    return at.groupBy(F.session_window("_at", gap).alias("window"), "value").agg(F.count("*").alias("n"))
+    at = events(stream).withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", f"{late_ms} milliseconds")
+    at = at.withColumn("value", F.when(F.col("ts_ms") >= END_MS, F.lit(_END)).otherwise(F.element_at("labels", F.lit(label)))).where("value is not null")
+    out = at.groupBy(F.session_window("_at", gap).alias("window"), "value").agg(F.count("*").alias("n"))
+    return out.where(F.col("window.start") < F.timestamp_millis(F.lit(END_MS)))
 
 
 def paced(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 10, fmt: str = "json") -> DataFrame:
