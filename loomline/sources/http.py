@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..errors import CorrelationError
 from ..functions.times import iso_text
 from ..plans import ast
-from . import decoders
+from . import decoders, sockets
 
 #: Rows a request asks for, seconds it may take, tries after a failure, waits between them in seconds. Fixed values.
 LIMIT, TIMEOUT_S, RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 1000, 30, 3, 1.0, 30.0
@@ -41,7 +41,7 @@ _LISTING_ERRORS = {**_ERRORS, "loki": "LOKI_LABELS_ERROR", "graylog": "GRAYLOG_S
 
 class Client:
     """Requests to one server. options (all texts): url, kind, and any of token, user, password, headers (a JSON object),
-    proxy (an HTTP proxy), timeout (seconds), retries, first_wait (seconds), limit, stream (a Graylog stream's name), step (seconds)."""
+    proxy (http://, or socks4:// or socks5://), timeout (seconds), retries, first_wait (seconds), limit, stream (a Graylog stream's name), step (seconds)."""
 
     def __init__(self, options: dict[str, str]):
         # Spark hands options over with names in lower case.
@@ -61,8 +61,11 @@ class Client:
             self.headers["Authorization"] = self._basic(o["token"], "token") if self.kind.startswith("graylog") else f"Bearer {o['token']}"
         elif o.get("user"):
             self.headers["Authorization"] = self._basic(o["user"], o.get("password", ""))
-        proxies = {"http": o["proxy"], "https": o["proxy"]} if o.get("proxy") else {}
-        self.opener = urllib.request.build_opener(urllib.request.ProxyHandler(proxies))
+        proxy = o.get("proxy", "")
+        if proxy.startswith("socks"):
+            self.opener = urllib.request.build_opener(*sockets.handlers(proxy))
+        else:
+            self.opener = urllib.request.build_opener(urllib.request.ProxyHandler({"http": proxy, "https": proxy} if proxy else {}))
 
     @staticmethod
     def _basic(user: str, password: str) -> str:
@@ -245,6 +248,11 @@ class ServerSource:
         o = self._with(query, start_ms=int(time.time() * 1000) if start_ms is None else start_ms, delay_ms=delay_ms, step=self.options.get("step") or decoders.step_seconds(0), **more)
         return self._decoded(self.spark.readStream.format("log_server").options(**o).load())
 
+    def tail(self, query: str) -> sockets.Tail:
+        """What a Loki server sends as it comes in; land() it in a folder and read that with sockets.landed()."""
+        c = Client(self.options)
+        return sockets.Tail(c.url, query, {k: v for k, v in c.headers.items() if k != "Accept"}, c.retries, c.wait, self.options.get("proxy"))
+
     def validate(self, query: str) -> bool:
         return {"loki": decoders.valid_loki, "prometheus": decoders.valid_prometheus}.get(self.kind, decoders.valid_graylog)(query)
 
