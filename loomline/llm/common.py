@@ -86,6 +86,19 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str, total
     return cold.unionByName(rows.join(hot, on))
 
 
+def tables_written() -> int:
+    """How many tables this process has written; a mark for drop_since()."""
+    return len(_written)
+
+
+def drop_since(mark: int, *keep: str) -> None:
+    """Deletes the tables written since a mark, but for those paths: what a step needed once its result is a table itself."""
+    for spark, path in _written[mark:]:
+        if path not in keep:
+            delete(spark, path)
+    _written[mark:] = [x for x in _written[mark:] if x[1] in keep]
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows with the least hashes of a key. A bound on the hash, known from the number of rows, keeps what tasks
     send to the driver near n rows in all, however many tasks there are."""
