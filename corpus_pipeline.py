@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import bpe, minhash, mixing, queries, secrets, toxicity
-from loomline.llm.common import Shared, load
+from loomline.llm.common import Shared, drop_since, load, tables_written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +73,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, shared = load(spark, sf_dir, "documents"), Shared(spark)
     for k, (name, stage) in enumerate(STAGES):
+        mark = tables_written()
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
         docs = shared.write(out, name)
+        drop_since(mark, shared.paths[name])
         if k:
             shared.drop(STAGES[k - 1][0])
     return docs
