@@ -72,3 +72,31 @@ def op5(weights: list[tuple], share: float, epochs: int, seed: str) -> str:
   k AS (SELECT r.*, epoch, rest, md5('{seed}|' || epoch || '|' || id) AS key FROM r JOIN plan USING (domain, language, source)),
   c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
   SELECT doc_id, domain, language, source, CAST(tokens AS BIGINT) AS tokens, CAST(epoch + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM c"""
+
+
+# The parts of op3, op8 and op10 that SQL can say; tests hold the operators' columns of these names against them.
+
+_NAMED = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _found(pattern: str, least: int, group: int = 0) -> str:
+    return f"CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: len(x) >= {least})) AS BIGINT)"
+
+
+OP3_BASE = f"SELECT doc_id, {_found(_NAMED, 12, 1)} AS n_assign, {_found('AKIA[A-Z0-9]+', 18)} AS n_access, {_found('[0-9a-f]+', 16)} AS n_hex FROM documents"
+
+OP8_BASE = f"""WITH h AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_WORDS} AS ws FROM documents),
+  d AS (SELECT doc_id, {_crc32("id")} % 5 = 1 AS held_out, list_append(ws, '') AS ws FROM h),
+  t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+  c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), s AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+  SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(s.n) AS BIGINT) AS train_tokens,
+    round(sum(log10((coalesce(c.c, 0) + 0.5) / (s.n + 0.5 * (s.v + 1)))), 4) AS base_score
+  FROM t LEFT JOIN c USING (w) CROSS JOIN s GROUP BY doc_id, held_out"""
+
+
+def op10_base(rules: list) -> str:
+    """host, path and rule; rules: those of urls.judge."""
+    rows = ", ".join(f"({i}, '{r.host}', '{r.path}', '{r.text}')" for i, r in enumerate(rules))
+    return f"""WITH r(i, h, p, rule) AS (VALUES {rows}), u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+      q AS (SELECT page_id, translate(regexp_extract(x, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+      SELECT page_id, host, path, arg_max(rule, len(rule) * 1000 - i) AS rule FROM q LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path"""
