@@ -1,10 +1,10 @@
-"""Media columns: audio fingerprints from pitch-class frames, aligned by bit errors at every offset."""
+"""Media columns: audio fingerprints from pitch-class frames, aligned by offset histograms and bit errors."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +21,8 @@ RATE, FRAME, HOP, WIDTH = 5512, 2048, 682, 16
 ERRORS, OVERLAP = 0.2, 0.5
 #: Entries, and queries, that one task compares with each other at once.
 BLOCK = 2048
+#: Codes whose channels a task holds at once; a longer recording is taken alone. A histogram may have 16 times as many cells.
+CELLS = 1 << 16
 #: Limits of the four steps that a filter's value (a difference of logarithms) falls in.
 STEPS = (-0.25, 0.0, 0.25)
 
@@ -75,10 +77,6 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(n % 6, (5 * n) % 9, 2 + n % 3, (4, 8, 12, 16)[(n // 2) % 4]) for n in range(16)]
 
 
-def _area(s: np.ndarray, t: np.ndarray, w: int, y: int, h: int) -> np.ndarray:
-    return s[t + w, y + h] - s[t, y + h] - s[t + w, y] + s[t, y]
-
-
 def fingerprint(x: np.ndarray) -> np.ndarray:
     """Signed 32-bit codes, one for each place of the widest filter: two Gray-coded bits of each of the sixteen filters."""
     c = chroma(x)
@@ -87,27 +85,31 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int32)
     s = np.zeros((len(c) + 1, 13))
     s[1:, 1:] = c.cumsum(0).cumsum(1)  # the integral image
-    t, out = np.arange(n), np.zeros(n, np.uint32)
-    for shape, y, h, w in filters():
-        a = _area(s, t, w, y, h)
+    first, second = np.empty((2, 16, n))
+
+    def area(t: int, w: int, y: int, h: int) -> np.ndarray:
+        return s[t + w : t + w + n, y + h] - s[t : t + n, y + h] - s[t + w : t + w + n, y] + s[t : t + n, y]
+
+    for k, (shape, y, h, w) in enumerate(filters()):
+        a, z = area(0, w, y, h), (y + h) % (13 - h)
         if shape == 0:  # the area against the frame's other classes
-            b = _area(s, t, w, 0, 12) - a
+            b = area(0, w, 0, 12) - a
         elif shape == 1:  # later frames
-            a, b = _area(s, t, w // 2, y, h), _area(s, t + w // 2, w // 2, y, h)
+            a, b = area(0, w // 2, y, h), area(w // 2, w // 2, y, h)
         elif shape == 2:  # the next classes
-            b = _area(s, t, w, (y + h) % (13 - h), h)
+            b = area(0, w, z, h)
         elif shape == 3:  # opposite quarters
             q = w // 2
-            z = (y + h) % (13 - h)
-            a, b = _area(s, t, q, y, h) + _area(s, t + q, q, z, h), _area(s, t, q, z, h) + _area(s, t + q, q, y, h)
+            a, b = area(0, q, y, h) + area(q, q, z, h), area(0, q, z, h) + area(q, q, y, h)
         elif shape == 4:  # the middle against both ends
             q = w // 4
-            a, b = 2 * _area(s, t + q, 2 * q, y, h), 2 * (_area(s, t, q, y, h) + _area(s, t + 3 * q, q, y, h))
+            a, b = 2 * area(q, 2 * q, y, h), 2 * (area(0, q, y, h) + area(3 * q, q, y, h))
         else:  # a class against its neighbours
-            a, b = _area(s, t, w, y + 1, 1), _area(s, t, w, y, 1) + _area(s, t, w, y + 2, 1)
-        step = np.digitize(np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0)), STEPS)
-        out = (out << np.uint32(2)) | (step ^ (step >> 1)).astype(np.uint32)
-    return out.view(np.int32)
+            a, b = area(0, w, y + 1, 1), area(0, w, y, 1) + area(0, w, y + 2, 1)
+        first[k], second[k] = a, b
+    value = np.log1p(np.maximum(first, 0)) - np.log1p(np.maximum(second, 0))
+    step = sum((value >= limit).astype(np.uint32) for limit in STEPS)
+    return np.bitwise_or.reduce((step ^ (step >> 1)) << np.arange(30, -1, -2, dtype=np.uint32)[:, None], 0).view(np.int32)
 
 
 def fingerprints(rows: DataFrame, media_col: str, id_col: str, decode: Callable[[object], np.ndarray] = wav_samples) -> DataFrame:
@@ -125,46 +127,104 @@ def fingerprints(rows: DataFrame, media_col: str, id_col: str, decode: Callable[
     return arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, codes array<int>").withColumnRenamed("id", id_col)
 
 
-def _aligned(x: np.ndarray, xs: np.ndarray, y: np.ndarray, errors: float, overlap: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least share of unlike bits of y with each column of x, over all offsets with enough overlap, and that offset; infinite over the errors allowed. xs: x in pairs."""
-    (n, m), k, ys = x.shape, len(y), _in_pairs(y)[:, None]
-    least, at = np.full(m, np.inf), np.zeros(m, np.int64)
-    for off in sorted(range(1 - k, n), key=lambda o: (abs(o), -o)):
-        i, j = max(off, 0), max(-off, 0)
-        size = min(n - i, k - j)
-        if size < overlap * min(n, k):
-            continue
-        wrong = np.zeros(m, np.uint32)
-        for c in range(0, size - 1, 6):  # three pairs of codes have 192 bits, which a byte can count
-            d = min(6, size - c) - 1
-            wrong += np.add.reduce(np.bitwise_count(xs[i + c : i + c + d : 2] ^ ys[j + c : j + c + d : 2]), 0, np.uint8)
-        if size % 2:
-            wrong += np.bitwise_count(x[i + size - 1] ^ y[j + size - 1])
-        low = np.flatnonzero(wrong <= int(32 * size * errors) + 1)
-        if len(low):
-            share = wrong[low] / (32 * size)
-            better = (share <= errors) & (share < least[low])
-            least[low[better]], at[low[better]] = share[better], off
-    return least, at
-
-
-def _in_pairs(x: np.ndarray) -> np.ndarray:
-    """Each code with the next."""
-    return x[:-1] | x[1:].astype(np.uint64) << np.uint64(32)
+def _spectra(codes: np.ndarray, lens: np.ndarray, period: int) -> np.ndarray:
+    """Spectra (frequency, recording, 48) of rows of codes padded to `period`. A filter's value is a corner of a
+    tetrahedron, in three channels, so the product of two values is 3 if they are equal and -1 if they aren't."""
+    x = np.zeros((len(codes), period, 48), np.float32)
+    bits = codes[..., None] >> np.arange(32, dtype=np.uint32) & np.uint32(1)
+    x[:, : codes.shape[1], :32] = np.where((np.arange(codes.shape[1]) < lens[:, None])[..., None], 1 - 2 * bits.astype(np.int8), 0)
+    x[..., 32:] = x[..., :32:2] * x[..., 1:32:2]
+    return np.ascontiguousarray(np.fft.rfft(x, axis=1).transpose(1, 0, 2))
+
+
+def _padded(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes and their lengths."""
+    lens = np.array([len(c) for c in codes])
+    out = np.zeros((len(codes), lens.max()), np.uint32)
+    for row, c in zip(out, codes, strict=True):
+        row[: len(c)] = c
+    return out, lens
+
+
+def _fast(n: int) -> int:
+    """The least length from n on without prime factors over five."""
+    while True:
+        m = n
+        for f in (2, 3, 5):
+            while m % f == 0:
+                m //= f
+        if m == 1:
+            return n
+        n += 1
+
+
+def _chunks(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """Places of codes by length, in pieces of at most 512 whose padded codes stay within CELLS."""
+    order, out, at = np.argsort([len(c) for c in codes], kind="stable"), [], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 512 and (end - at + 1) * len(codes[order[end]]) <= CELLS:
+            end += 1
+        out.append(order[at:end])
+        at = end
+    return out
+
+
+def _aligned(x: list[np.ndarray], y: list[np.ndarray], errors: float, overlap: float) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """Indices into x and y of pairs with at most a share `errors` of unlike bits at an offset, the offset, the shares.
+
+    Each pair of equal filter values votes for the offset between them; one correlation gives the histograms of all
+    pairs. An unequal value costs a bit error at least, so an offset with few enough unlike bits has no fewer than
+    16 * size - 32 * size * errors votes; only where there are as many are bits compared.
+    """
+    (x, n), (y, k) = _padded(x), _padded(y)
+    period = _fast(int(n.max() + k.max() - np.floor(overlap * min(n.max(), k.max()))))
+    rows = max(1, CELLS // period)
+    for at in range(0, len(x), rows):
+        fx, x1, n1 = _spectra(x[at : at + rows], n[at : at + rows], period), x[at : at + rows], n[at : at + rows]
+        step = max(1, 16 * CELLS // (len(x1) * period))
+        for to in range(0, len(y), rows):
+            fy = _spectra(y[to : to + rows], k[to : to + rows], period).conj().transpose(0, 2, 1)
+            for part in range(0, fy.shape[2], step):
+                # As equal + unequal = 16 * size and the product is 3 * equal - unequal, equal = (product + 16 * size) / 4.
+                product = np.fft.irfft(fx @ fy[..., part : part + step], period, axis=0)
+                y1, k1 = (z[to : to + rows][part : part + step] for z in (y, k))
+                for off, i, j in _voted(product, n1, k1, errors, overlap):
+                    a, b = max(off, 0), max(-off, 0)
+                    size = np.minimum(n1[i] - a, k1[j] - b)
+                    unlike = np.bitwise_count(x1[i, a : a + size.max()] ^ y1[j, b : b + size.max()])
+                    wrong = np.where(np.arange(size.max()) < size[:, None], unlike, 0).sum(1, dtype=np.int64) / (32 * size)
+                    ok = wrong <= errors
+                    yield at + i[ok], to + part + j[ok], off, wrong[ok]
+
+
+def _voted(product: np.ndarray, n: np.ndarray, k: np.ndarray, errors: float, overlap: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Offsets that overlap enough and the pairs with enough votes there."""
+    (ns, nat), (ks, kat) = (np.unique(z, return_inverse=True) for z in (n, k))
+    off = np.arange(1 - ks[-1], ns[-1])
+    size = np.minimum(ns[:, None] - np.maximum(off, 0)[:, None, None], ks - np.maximum(-off, 0)[:, None, None])
+    least = 48 * size - 4 * np.floor(32 * size * errors) - 1 - 0.01 * size  # less than rounding can take
+    least = np.where((size > 0) & (size >= overlap * np.minimum(ns[:, None], ks)), least, np.inf).astype(np.float32)
+    for o, need in zip(off.tolist(), least, strict=True):
+        if np.isfinite(need).any():
+            i, j = np.nonzero(product[o % len(product)] >= (need[0, 0] if need.size == 1 else need[nat[:, None], kat]))
+            if len(i):
+                yield o, i, j
 
 
 def _matches(errors: float, overlap: float):
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out, lens = [], entries.codes.map(len).to_numpy(np.int64)
-        for n in np.unique(lens) if len(queries) else ():
-            part = entries[lens == n]
-            x = np.ascontiguousarray(np.array([np.asarray(c, np.int32) for c in part.codes]).view(np.uint32).T)
-            xs = _in_pairs(x)
-            for q, q2, codes in zip(queries.q, queries.q2, queries.codes, strict=True):
-                wrong, at = _aligned(x, xs, np.asarray(codes, np.int32).view(np.uint32), errors, overlap)
-                hit = np.flatnonzero(np.isfinite(wrong))
-                out.append(pd.DataFrame({"q": q, "q2": q2, "e": part.e.to_numpy()[hit], "e2": part.e2.to_numpy()[hit], "off": at[hit].astype(np.int32), "n": part.n.to_numpy()[hit], "wrong": wrong[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("q", "q2", "e", "e2", "off", "n", "wrong")})
+        out = [pd.DataFrame({"q": [], "q2": [], "e": [], "e2": [], "off": [], "n": [], "wrong": []})]
+        codes, asked = ([np.asarray(c, np.int32).view(np.uint32) for c in z.codes] for z in (entries, queries))
+        for a in _chunks(codes):
+            for b in _chunks(asked):
+                found = [pd.DataFrame({"i": a[i], "j": b[j], "far": abs(off), "off": off, "wrong": w}) for i, j, off, w in _aligned([codes[k] for k in a], [asked[k] for k in b], errors, overlap)]
+                if found:
+                    f = pd.concat(found).sort_values(["i", "j", "wrong", "far", "off"], ascending=[True, True, True, True, False]).drop_duplicates(["i", "j"])
+                    e, q = entries.iloc[f.i], queries.iloc[f.j]
+                    found = {"q": q.q, "q2": q.q2, "e": e.e, "e2": e.e2, "off": f.off, "n": e.n, "wrong": f.wrong}
+                    out.append(pd.DataFrame({c: np.asarray(v) for c, v in found.items()}))
+        return pd.concat(out[1:] or out)
 
     return run
 
@@ -172,10 +232,10 @@ def _matches(errors: float, overlap: float):
 def align(prints: DataFrame, queries: DataFrame, id_col: str, errors: float = ERRORS, overlap: float = OVERLAP) -> DataFrame:
     """Returns id_col, n_matches, best_id, best_offset, best_errors: one row for each row of queries (id_col, codes), searched in all of prints.
 
-    Recordings with equal codes are one entry. Blocks of entries meet blocks of queries; at every offset where the two
-    overlap enough, the share of unlike bits is taken. The offset with the least share (then the least shift) decides.
-    No index goes before: near the allowed errors, equal codes or parts of codes are as rare as by chance. The work
-    grows with the entries times the queries, and for each pair with the product of the numbers of codes.
+    Recordings with equal codes are one entry. Blocks of entries meet blocks of queries; a histogram of the offsets of
+    equal filter values gives each pair the offsets that can have few enough unlike bits, so no match is lost; there
+    the share of unlike bits is taken, and the offset with the least (then the least shift) decides. The work grows
+    with the entries times the queries, and for each pair a little more than with the sum of their lengths.
     n_matches counts other recordings; the best has the least share, then the least id. Queries without codes or
     matches get 0 and nulls. A null id is searched, but never a best match.
     """
