@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomline.llm import audio
@@ -130,3 +131,27 @@ def test_every_match_by_bit_errors_alone(spark, monkeypatch):
         want.append((i, len({j for _, j, _ in found}), *(min(found, key=lambda f: (f[0], f[1], abs(f[2])))[1:] if found else (None, None))))
     assert sum(w[1] > 0 for w in want) == 24
     assert sorted((r.rec_id, r.n_matches, r.best_id, r.best_offset) for r in audio.align(prints, prints, "rec_id").collect()) == want
+
+
+def test_histograms_lose_no_match_of_any_length(monkeypatch):
+    monkeypatch.setattr(audio, "CELLS", 96)  # pieces of few recordings, and recordings alone
+    rnd = np.random.default_rng(5)
+    x = [rnd.integers(0, 2**32, n, dtype=np.uint32) for n in (1, 2, 3, 7, 20, 21, 40, 40, 150, 300)]
+    damage = lambda c, p: c ^ ((rnd.random((len(c), 32)) < p) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32)
+    y = [damage(c[s : s + n], p) for c in x for s, n, p in ((0, 400, 0.0), (0, 400, 0.19), (2, 30, 0.15), (5, 200, 0.2)) if len(c) > s]
+    frame = lambda z, a: pd.DataFrame({a: range(len(z)), a + "2": 0, "n": 1, "codes": [c.view(np.int32) for c in z]})
+    found = audio._matches(audio.ERRORS, audio.OVERLAP)(frame(x, "e"), frame(y, "q").drop(columns="n"))
+    want = []
+    for q, b in enumerate(y):
+        for e, a in enumerate(x):
+            best = []
+            for off in range(1 - len(b), len(a)):
+                u, v = a[max(off, 0) :], b[max(-off, 0) :]
+                size = min(len(u), len(v))
+                wrong = np.bitwise_count(u[:size] ^ v[:size]).sum() / (32 * size)
+                if size >= audio.OVERLAP * min(len(a), len(b)) and wrong <= audio.ERRORS:
+                    best.append((wrong, abs(off), -off))
+            if best:
+                want.append((q, e, -min(best)[2], round(min(best)[0], 9)))
+    assert len(want) > len(x) * 2
+    assert sorted(zip(found.q, found.e, found.off, found.wrong.round(9), strict=True)) == want
