@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: DataFrame, share: float, epochs: int = 2, seed
     are tied and taken together.
 
     The order's cut is found by sums over 256 prefixes of the hash, then twice 256 longer ones within the prefix that
-    the cut falls in, then rows; a leaf with a third of all rows is summed by prefix on every task before any shuffle.
+    the cut falls in, then ids; a leaf or an id with a third of all rows is summed on every task before any shuffle.
     The table of leaves joins by common.join_counted: leaves of many rows, of which there is a bounded number, are
     broadcast, so texts of these are not shuffled and no task gets a whole leaf.
     Null domains, languages and sources are nodes of their own (an empty name). Null and empty texts have 0 tokens and
@@ -108,8 +108,9 @@ def mix(docs: DataFrame, weights: DataFrame, share: float, epochs: int = 2, seed
         else:
             rows = join_counted(short, at, path, "n", sums.n).where(f"substring(key, 1, {digits - 2}) = part").select(*path, "n", "key", "tokens", F.col("left").alias("rest"))
         at = shared.write(cut(rows, F.substring("key", 1, digits)), f"cut{digits}")
-    in2 = join_counted(short, at, path, "n", sums.n).where("substring(key, 1, 6) = part").select(*path, "key", "tokens", F.col("left").alias("rest"), "part")
-    upto = F.sum("tokens").over(W.partitionBy(*path, "part").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow))
+    in2 = join_counted(short, at, path, "n", sums.n).where("substring(key, 1, 6) = part")
+    in2 = in2.groupBy(*path, "part", "key").agg(F.sum("tokens").alias("tokens"), F.max("left").alias("rest"))  # rows with one id are one
+    upto = F.sum("tokens").over(W.partitionBy(*path, "part").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow))
     last = in2.withColumn("upto", upto).where("upto <= rest").groupBy(*path).agg(F.max("key").alias("last"))
     ends = plan.join(at.drop("n"), path, "left").join(last, path, "left").select(*path, "n", "epoch", F.coalesce("last", "part", F.lit("~")).alias("end"))
     ends = shared.write(ends, "ends")

@@ -49,6 +49,7 @@ def test_against_brute_force(spark, hot, monkeypatch):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a", "a", "b", None]), rnd.choice(["en", "de"]), rnd.choice(["s1", "s2", "s3"]), " ".join("w" for _ in range(rnd.choice([0, 1, 5, 40])))) for i in range(300)]
     rows += [(7, *rows[7][1:]), (None, "b", "en", "s9", "x y"), (500, "b", "fr", "s1", None)]
+    rows += [(77, "a", "en", "s1", "x y")] * 100  # one id on a quarter of the rows
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, domain string, lang string, source string, text string, part int")
     weights = spark.createDataFrame(WEIGHTS, "domain string, language string, source string, w int")
     for share, epochs in ((0.6, 1), (1.5, 2), (9.0, 2)):
