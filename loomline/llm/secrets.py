@@ -110,7 +110,9 @@ def _repeats(s: str) -> Iterator[tuple[int, int, int]]:
     for u in range(1, min(UNIT, n // 2) + 1):
         # How many characters in a row equal those u places on.
         other = np.flatnonzero(np.append(x[u:] != x[:-u], True))
-        r = same[u] = other[np.searchsorted(other, np.arange(n - u + 1))] - np.arange(n - u + 1)
+        r = other[np.searchsorted(other, np.arange(n - u + 1))] - np.arange(n - u + 1)
+        if u <= UNIT // 2:  # a longer unit asks for fewer than UNIT
+            same[u] = np.minimum(r, UNIT).astype(np.uint8)
         times = r // u + 1
         hit = (times >= 2) & (times * u >= 3)
         for v in range(1, u // 2 + 1):
