@@ -5,38 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, join_counted
 
 
 def components(edges: DataFrame, shared: Shared, name: str = "components") -> DataFrame:
     """edges: a, b long. Returns v, comp: each vertex with the smallest vertex that edges reach from it.
 
     Every round maps each vertex to the least vertex two hooks away and contracts the edges, so a star takes one
-    round and a path of n vertices about log n. All state is in tables of the shared folder; nothing is collected
-    but row counts. Null ends and loops are ignored; an empty edge table gives an empty result. name: what `shared` has
+    round and a path of n vertices about log n. Hubs join by common.join_counted, so the edges of one stay where they
+    are. All state is in tables of the shared folder; nothing is collected but row counts. Null ends and loops are ignored; an empty edge table gives an empty result. name: what `shared` has
     the result under, unless it is empty.
     """
     live = shared.write(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges0")
     hooks: list[DataFrame] = []
     k = 0
     while not live.isEmpty():
+        total = 2 * live.count()
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        hook = shared.write(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("p")), f"hook{k}")
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook2 = shared.write(hook.join(up, "p").select("v", F.col("pp").alias("p")), f"jump{k}")
-        hooks.append(hook2)
-        to_a = hook2.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        to_b = hook2.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        nxt = live.join(to_a, "a").join(to_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        hook = shared.write(both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("p"), "n"), f"hook{k}")
+        # A vertex is the hook, or an end, of no more rows than it has edges (n), but for its own.
+        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"), F.col("n").alias("np"))
+        hook2 = shared.write(join_counted(hook, up, ["p"], "np", total).select("v", F.col("pp").alias("p"), "n"), f"jump{k}")
+        hooks.append(hook2.select("v", "p"))
+        to_a = hook2.select(F.col("v").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"))
+        to_b = hook2.select(F.col("v").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"))
+        half = shared.write(join_counted(live, to_a, ["a"], "na", total).select("b", "pa"), f"half{k}")
+        nxt = join_counted(half, to_b, ["b"], "nb", total).where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         live = shared.write(nxt, f"edges{k + 1}")
-        shared.drop(f"edges{k}", f"hook{k}")
+        shared.drop(f"edges{k}", f"hook{k}", f"half{k}")
         k += 1
     if not hooks:
         return live.select(F.col("a").alias("v"), F.col("b").alias("comp"))
-    out = hooks[-1].select(F.col("v").alias("v"), F.col("p").alias("comp"))
-    for hook in reversed(hooks[:-1]):
+    out = hooks[-1].select("v", F.col("p").alias("comp"))
+    for i in reversed(range(k - 1)):
         up = out.select(F.col("v").alias("p"), "comp")
-        out = hook.join(up, "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))
+        ends = hooks[i].groupBy("p").agg(F.count("*").alias("n")).join(up.hint("merge"), "p", "left")
+        ends = shared.write(ends.select("p", F.coalesce("comp", "p").alias("comp"), "n"), f"ends{i}")
+        out = join_counted(hooks[i], ends, ["p"], "n", hooks[i].count()).select("v", "comp")
     out = shared.write(out, name)
-    shared.drop(f"edges{k}", *(f"jump{i}" for i in range(k)))
+    shared.drop(f"edges{k}", *(f"{x}{i}" for x in ("jump", "ends") for i in range(k)))
     return out
