@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,18 @@ def test_store(spark):
     kept = store.dedup(s.df.withColumn("timestamp", F.lit("t")), window_ms=2)
     assert sorted(r.seq for r in kept.collect()) == [0, 2, 4]
     assert store.is_expired(11, 5, 5) and not store.is_expired(10, 5, 5)
+
+
+def test_downsample_reads_its_events_once(spark):
+    """An order of arrival that every evaluation numbers anew, as after a shuffle, loses no series."""
+    seq = F.udf(lambda: int.from_bytes(os.urandom(5), "big"), "long").asNondeterministic()
+    df = spark.range(4000).select(
+        F.lit("t").alias("timestamp"), F.lit("promql").alias("source"), F.lit("m").alias("stream"), F.col("id").cast("string").alias("message"), F.create_map(F.lit("n"), F.col("id").cast("string")).alias("labels"),
+        F.create_map(F.lit("user"), (F.col("id") % 50).cast("string")).alias("join_keys"), F.when(F.col("id") < 3900, F.col("id") * 15).alias("ts_ms"), seq().alias("seq"),
+    )
+    got = decoders.downsample(df, 15)
+    assert got.schema.names == EVENT.names
+    users = {(i % 50, i * 15 // 15000): i for i in range(3900)}  # the last of each user and step
+    out = [(int(r.message), r.ts_ms, r.labels["n"]) for r in got.collect()]
+    assert sorted(x for x in out if x[1] is not None) == sorted((i, i * 15, str(i)) for i in users.values())
+    assert {x[0] % 50 for x in out if x[1] is None} == set(range(50)) and len(out) == len(users) + 50
