@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, arrow_map, hash_sample, shingle_set
+from .common import Shared, arrow_map, for_a_task, hash_sample, shingle_set
 
 #: Labelled rows that the chain is fitted on at most, in the order of a hash: of those with the last label, and of those without.
 POSITIVE, NEGATIVE = 3_000, 6_000
@@ -53,7 +53,7 @@ class _Cache(dict):
         return out
 
 
-_features = _Cache(features_of)
+_features = for_a_task(_Cache(features_of))
 
 
 def words_in(text: str | None) -> set[bytes]:
